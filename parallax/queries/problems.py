@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from parallax.functions.text import clean
 from parallax.operators.orphans import Link, orphan_references, orphan_report
+from parallax.functions.units import _GROUPED, NUMBER, folded_table, unit_pattern, unit_table
+from parallax.operators.quantities import unify_quantities
 from parallax.operators.trailing import trailing_totals
 from parallax.session import table
 
@@ -44,7 +46,26 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d)).withColumnRenamed("period", "year_month")
 
 
-QUERIES = {"p1_found": p1_found, "p1_trailing": p1_trailing, "p5_found": p5_found, "p5_report": p5_report}
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return unify_quantities(table(spark, d, "claim"), sources=(clean("extraction_version"),))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _units(spark, d).where("state <> 'same'").select(F.col("id").alias("claim_id"), "common_unit").distinct()
+
+
+def p7_units(spark: SparkSession, d: str) -> DataFrame:
+    return _units(spark, d).select(F.col("id").alias("claim_id"), "common_unit", "magnitude", "stored", "state").distinct()
+
+
+def p7_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source changed a unit, by the factor to reverse."""
+    version = table(spark, d, "claim").select("id", clean("extraction_version").alias("extraction_version")).distinct()
+    moved = _units(spark, d).where("state = 'shifted'").distinct().join(version, "id")
+    return moved.groupBy("extraction_version", "common_unit", "factor").agg(F.count(F.lit(1)).alias("claims"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_units": p7_units, "p7_shifts": p7_shifts, "p1_found": p1_found, "p1_trailing": p1_trailing, "p5_found": p5_found, "p5_report": p5_report}
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)||chr(160)"
 _SPEND = f"""
@@ -71,7 +92,44 @@ def _orphan_sql() -> str:
     return "with o as (" + " union all ".join(parts) + ") "
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _units_sql() -> str:
+    """The same reading of quantities, with the patterns freed of look-around."""
+    number, unit = NUMBER.replace(r"(?!\d)", ""), unit_pattern().replace("(?iu:", "(?i:")
+    gap, end = r"[ \t\x{a0}\x{202f}\x{2009}]*", r"(?:$|[\s\x{a0}\x{202f}\x{2009}(),;:/\]|]|\.(?:\s|$))"
+    lead = r"^(?:approx\.?|≈|~|[ \t\x{a0}])*"
+    rows = lambda t: ", ".join(f"({_quoted(s)}, {_quoted(u.common)}, {u.factor!r}::double, {u.offset!r}::double)" for s, u in t.items())
+    blanks = "chr(32)||chr(9)||chr(10)||chr(13)||chr(160)"
+    return f"""
+with exact(s, common, factor, off) as (values {rows(unit_table())}),
+folded(s, common, factor, off) as (values {rows(unit_table() | folded_table())}),
+read as (
+  select distinct id, normalized_magnitude as m, trim(normalized_unit, {blanks}) as nu,
+    regexp_extract(raw_value, {_quoted(f"{lead}({number}){gap}(?:{unit}{end}|$|\\(|max|min|nominal)")}, 1) as num,
+    coalesce(nullif(regexp_extract(raw_value, {_quoted(f"{lead}{number}{gap}({unit}){end}")}, 1), ''),
+      nullif(regexp_extract(case when contains(span_text, trim(raw_value)) then list_last(string_split(span_text, trim(raw_value))) end, {_quoted(f"^{gap}({unit}){end}")}, 1), ''),
+      nullif(regexp_extract(attribute, {_quoted(f"[(\\[]\\s*({unit})\\s*[)\\]]\\s*$")}, 1), '')) as un
+  from claim),
+clean as (select *, regexp_replace(num, {_quoted("[\\s\\x{a0}\\x{202f}\\x{2009}'’]")}, '', 'g') as plain from read),
+value as (select *, try_cast(case when regexp_matches(num, {_quoted("^[+-]?" + _GROUPED.replace("(?!\\d)", "") + "(?:[eE]|$)")}) then replace(plain, ',', '') else replace(plain, ',', '.') end as double) as v from clean where num <> ''),
+both_read as (
+  select id, m, nu, coalesce(e.common, f.common) as common, v * coalesce(e.factor, f.factor) + coalesce(e.off, f.off) as stated,
+    coalesce(e2.common, f2.common) as common2, m * coalesce(e2.factor, f2.factor) + coalesce(e2.off, f2.off) as stored0
+  from value left join exact e on e.s = un left join folded f on f.s = lower(un) left join exact e2 on e2.s = nu left join folded f2 on f2.s = lower(nu)),
+state as (
+  select id as claim_id, common as common_unit, stated as magnitude, case when m is null or coalesce(nu, '') = '' then null else stored0 end as stored,
+    case when m is null or coalesce(nu, '') = '' then 'missing' when common2 is null or common2 <> common then 'dimension'
+      when abs(stored0 - stated) > 0.001 * greatest(abs(stored0), abs(stated)) then 'shifted' else 'same' end as state
+  from both_read where common is not null and stated is not null)
+"""
+
+
 SQL = {
+    "p7_found": _units_sql() + "select distinct claim_id, common_unit from state where state <> 'same'",
+    "p7_units": _units_sql() + "select distinct claim_id, common_unit, magnitude, stored, state from state",
     "p1_found": _SPEND + "select ns as namespace, strftime(d, '%Y-%m-%d') as event_day from totals where t7 = 0 and t30 > 0",
     "p1_trailing": _SPEND + """select ns as namespace, strftime(d, '%Y-%m-%d') as event_day, t7 as total_7, t30 as total_30, t7 / 7 as mean_day_7, t30 / 30 as mean_day_30,
   case when n7 > 0 then t7 / n7 end as mean_event_7, case when n30 > 0 then t30 / n30 end as mean_event_30, cast(n7 as bigint) as events_7, cast(n30 as bigint) as events_30 from totals""",
