@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from parallax.functions.text import clean
 from parallax.llm.leaks import leaked_items
 from parallax.llm.tokens import encode_corpus
+from parallax.llm.truncation import cut_values, truncation_report
 from parallax.session import table
 
 #: Folder of the public tokenizers; a parameter, nothing is copied.
@@ -22,5 +25,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found}
+def _cut_fields() -> dict:
+    return {"key": "extraction_id", "source": clean("lane"), "fields": ["span_text", "reasoning"], "anchor": "raw_value"}
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_values(table(spark, d, "extracted_claim"), **_cut_fields()).select("extraction_id", F.col("field").alias("field_name")).distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_report(table(spark, d, "extracted_claim"), **_cut_fields()).withColumnsRenamed({"source": "lane", "field": "field_name"})
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
