@@ -11,6 +11,7 @@ from parallax.functions.text import clean
 from parallax.llm.leaks import leaked_items
 from parallax.llm.tokens import encode_corpus
 from parallax.llm.truncation import cut_values, truncation_report
+from parallax.llm.vocabulary import map_values
 from parallax.session import table
 
 #: Folder of the public tokenizers; a parameter, nothing is copied.
@@ -37,5 +38,22 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation_report(table(spark, d, "extracted_claim"), **_cut_fields()).withColumnsRenamed({"source": "lane", "field": "field_name"})
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p8_ids": p8_ids, "p9_found": p9_found}
+def p6_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct free-entered name with its entry; 0 is the report of unmatched values."""
+    claim, extracted = table(spark, d, "claim"), table(spark, d, "extracted_claim")
+    names = claim.select(F.col("attribute").alias("name")).unionByName(extracted.select(F.col("parameter_name").alias("name")))
+    entries = map_values(names, table(spark, d, "parameter_ref").select(F.col("param_id").alias("entry"), "name", "aliases"))
+    return entries.select("name", F.col("entry").alias("param_id"), F.round("score", 6).alias("score"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    claim, extracted = table(spark, d, "claim"), table(spark, d, "extracted_claim")
+    rows = claim.select(F.lit("claim").alias("child_table"), F.col("id").alias("row_id"), F.col("attribute").alias("name")).unionByName(
+        extracted.select(F.lit("extracted_claim").alias("child_table"), F.col("extraction_id").cast("string").alias("row_id"), F.col("parameter_name").alias("name"))
+    )
+    exact = table(spark, d, "parameter_ref").select("name").distinct()
+    return rows.join(exact, "name", "left_anti").join(p6_names(spark, d), "name").select("child_table", "row_id", "param_id").distinct()
+
+
+QUERIES = {"p6_found": p6_found, "p6_names": p6_names, "p3_found": p3_found, "p3_report": p3_report, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
