@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallax.functions.text import is_blank, strip
+from parallax.session import checkpoint
 
 TERMINAL = r"[.!?;:。！？]['\")\]»”’]*$"
 MARKS = r"(?:…|�|\.\.\.|\[\.\.\.\]|\[…\])$"
@@ -89,6 +90,7 @@ def cut_values(df: DataFrame, key: str, source: Column, fields: Sequence[str], *
         .withColumn("closes", F.col("t").rlike(r"[.;!?]$") & ~F.col("t").rlike(MARKS)).where("closes or not last").withColumn("t", F.regexp_replace("t", r"[.,;:!?]+$", ""))
         .where("t <> ''").groupBy("p", "t").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("closes").cast("long")).alias("ends"))
     )
+    stats = checkpoint(stats)  # used in four places below
     frequent = stats.where(F.col("n") >= support)
     def prefixes(own: DataFrame, keys: list[str]) -> DataFrame:
         cut = F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring("t", F.lit(1), i))
