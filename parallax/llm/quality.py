@@ -35,38 +35,175 @@ COMMON = {
     "es": "el la los las de del en que un una por con para su se no al lo como más es sus le ha sin sobre este entre cuando ser son dos también fue había era muy hasta desde está si".split(),
 }
 
-BLANK_LINE = r"[^\r\n\x0b\x0c\x85  ]*[^\s\xa0][^\r\n\x0b\x0c\x85  ]*"
-FEATURES = ("n_words", "mean_word_length", "letter_share", "digit_share", "symbol_share", "common_share", "n_lines", "words_per_line", "line_end_share", "bullet_share", "cell_row_share", "numeric_cell_share", "longest_word")
+FEATURES = (
+    "n_words", "mean_word_length", "letter_share", "digit_share", "symbol_share", "common_share", "n_lines", "words_per_line", "line_end_share", "bullet_share",
+    "cells_per_line", "numeric_cell_share", "distinct_share",
+)
+KINDS = ("table", "list", "junk")
 
 
 def text_statistics(documents: DataFrame, key: str = "doc_id", text: Column | str = "text", lang: Column | str = "lang") -> DataFrame:
-    """(key, one column for each of FEATURES): see the README for their definitions."""
+    """(key, one column for each of FEATURES, readable): one pass of plain expressions over the whole text.
+
+    Words are runs of letters; a line counts if it is not blank; symbols are visible characters other than
+    letters, digits and usual punctuation; a cell mark is a bar, a tab, a semicolon without a blank after
+    it or a gap of two blanks; a numeric cell is a mark followed by a digit (looked for in texts with a mark to a
+    line or more); a bullet is a dash, dot, number or letter that opens a line.
+    """
     rows = documents.select(F.col(key).alias("__key"), F.coalesce(col(text), F.lit("")).alias("t"), col(lang).alias("g"))
-    rows = rows.withColumn("words", F.filter(F.split(F.lower("t"), r"[^\p{L}]+"), lambda w: w != ""))
-    rows = rows.withColumn("lines", F.filter(F.split("t", r"[\r\n\x0b\x0c\x85]+"), lambda s: F.btrim(s, F.lit(" \t\xa0")) != ""))
-    within = lambda k: F.size(F.filter("words", lambda w: w.isin(COMMON[k])))
-    counts = {g: within(g) for g in COMMON}
-    common = F.when(F.col("g") == "en", counts["en"])
-    for g in ("de", "fr", "es"):
-        common = common.when(F.col("g") == g, counts[g])
-    n_words, n_lines = F.size("words"), F.size("lines")
-    seen = F.length(F.regexp_replace("t", r"[\s\xa0]+", ""))
-    letters = F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w))
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    cells = r"\s*[|¦\t]\s*|;(?=\S)|[ \xa0]{2,}(?=\S)"
-    row = F.filter("lines", lambda s: F.regexp_count(s, F.lit(r"[^|¦\t\s][ \xa0]*(?:[|¦\t]|;(?=\S)|[ \xa0]{2,}(?=\S))")) >= 2)
-    numeric = r"(?:^|[|¦\t;]|[ \xa0]{2,})[ ]*[-+]?[$€£]?[\d.,:/%-]*\d[\d.,:/%-]*[ ]*(?=$|[|¦\t;]|[ \xa0]{2,})"
+    rows = rows.withColumn("words", F.split(F.lower("t"), r"[^\p{L}]+"))
+    within = lambda g: F.size(F.filter("words", lambda w: w.isin(COMMON[g])))
+    common = F.when(F.col("g") == "en", within("en")).when(F.col("g") == "de", within("de")).when(F.col("g") == "fr", within("fr")).when(F.col("g") == "es", within("es"))
+    count = lambda pattern: F.regexp_count("t", F.lit(pattern))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    edges = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0) + F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
     rows = rows.select(
-        "__key", n_words.alias("n_words"), n_lines.alias("n_lines"), seen.alias("seen"), letters.alias("letters"), F.coalesce(common, F.greatest(*counts.values())).alias("common"),
-        F.length(F.regexp_replace("t", r"\D+", "")).alias("digits"), F.length(F.regexp_replace("t", r"""[\p{L}\p{N}\s\xa0.,;:'"()?!/§–—“”„‘’«»-]+""", "")).alias("symbols"),
-        F.size(F.filter("lines", lambda s: s.rlike(r"[.!?;:,…][\"')\]»”’]*[ \t\xa0]*$"))).alias("ends"),
-        F.size(F.filter("lines", lambda s: s.rlike(r"^[ \t]*(?:[-–—•*·▪◦o]|\(?[0-9]{1,4}[.)]|\(?[a-zA-Z][.)]|\(\d{4}\))[ \t]+\S"))).alias("bullets"),
-        F.size(row).alias("cell_rows"), F.aggregate(row, F.lit(0), lambda a, s: a + F.size(F.split(s, cells))).alias("cells"), F.aggregate(row, F.lit(0), lambda a, s: a + F.regexp_count(s, F.lit(numeric))).alias("numeric"),
-        F.aggregate("words", F.lit(0), lambda a, w: F.greatest(a, F.length(w))).alias("longest_word"),
+        "__key", (F.size("words") - edges).alias("n_words"), F.length(F.array_join("words", "")).alias("letters"),
+        F.coalesce(common, F.greatest(*[within(g) for g in COMMON])).alias("common"), (F.length("t") - count(r"[\s\xa0\ufeff]")).alias("seen"),
+        count(r"(?m)^[^\S\r\n]*[^\s\xa0]").alias("n_lines"), count(r"\d").alias("digits"), count(r"""[^\p{L}\p{N}\s\xa0.,;:'"()?!/§–—“”„‘’«»\-]""").alias("symbols"),
+        count(r"[.!?;:,…][\"')\]»”’]*[ \t\xa0]*(?:[\r\n]|\z)").alias("ends"),
+        count(r"(?m)^[ \t]*(?:[-–—•*·▪◦o]|\(?[0-9]{1,4}[.)]|\(?[a-zA-Z][.)])[ \t]+\S").alias("bullets"),
+        count(r"[|¦\t]|;(?=\S)|[ \xa0]{2,}(?=\S)").alias("cells"), F.size(F.array_distinct("words")).alias("distinct"), "t",
     )
+    rows = rows.withColumn("numeric", F.when((F.col("cells") > 0) & (F.col("cells") >= F.col("n_lines")), count(r"(?:[|¦\t]|;|[ \xa0]{2,})[ ]?[\d-]")).otherwise(0))
     return rows.select(
-        F.col("__key").alias(key), "n_words", share(F.col("letters"), F.col("n_words")).alias("mean_word_length"), share(F.col("letters"), F.col("seen")).alias("letter_share"),
-        share(F.col("digits"), F.col("seen")).alias("digit_share"), share(F.col("symbols"), F.col("seen")).alias("symbol_share"), share(F.col("common"), F.col("n_words")).alias("common_share"),
-        "n_lines", share(F.col("n_words"), F.col("n_lines")).alias("words_per_line"), share(F.col("ends"), F.col("n_lines")).alias("line_end_share"), share(F.col("bullets"), F.col("n_lines")).alias("bullet_share"),
-        share(F.col("cell_rows"), F.col("n_lines")).alias("cell_row_share"), share(F.col("numeric"), F.col("cells")).alias("numeric_cell_share"), "longest_word", (F.col("seen") > 0).alias("readable"),
+        F.col("__key").alias(key), "n_words", share("letters", "n_words").alias("mean_word_length"), share("letters", "seen").alias("letter_share"), share("digits", "seen").alias("digit_share"),
+        share("symbols", "seen").alias("symbol_share"), share("common", "n_words").alias("common_share"), "n_lines", share("n_words", "n_lines").alias("words_per_line"),
+        share("ends", "n_lines").alias("line_end_share"), share("bullets", "n_lines").alias("bullet_share"), share("cells", "n_lines").alias("cells_per_line"),
+        share("numeric", "cells").alias("numeric_cell_share"), F.least(F.lit(1.0), share("distinct", "n_words")).alias("distinct_share"), (F.col("seen") > 0).alias("readable"),
     )
+
+
+_SENTENCE = re.compile(r"[^\W\d_][^.!?]{25,}[.!?]")
+_BULLET = re.compile(r"^\s*(?:[-–—•*·▪◦o]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)])\s+")
+_CITATION = re.compile(r"^\(?\d{4}\)?\s+\d+\s+[A-Z]{2,}\s+\d+")
+_PARTIES = re.compile(r"\S\s+(?:v\.?|vs\.?|against|contre|gegen|contra)\s+\S", re.I)
+_WORD = re.compile(r"[^\W\d_]+")
+_SHAPE = re.compile(r"(?=.*[aeiouyäöüàâéèêëîïôûùáíóúœ])(?!.*[^aeiouyäöüàâéèêëîïôûùáíóúœ]{6})(?:[a-zà-ÿ]+|[A-ZÀ-Þ][a-zà-ÿß]+|[A-ZÀ-Þ]+)$", re.I)
+
+
+def weak_label(text: str | None) -> str | None:
+    """prose, list, table or junk where the lines of a text show signs of just one; else None."""
+    lines = [x for x in re.split(r"[\r\n]+", text or "") if x.strip()]
+    if not lines:
+        return None
+    flat = " ".join(x.strip() for x in lines)
+    common = set().union(*COMMON.values())
+    sentences = sum(len(m[0]) for m in _SENTENCE.finditer(flat) if sum(w.lower() in common for w in _WORD.findall(m[0])) >= 3)
+    words = _WORD.findall(flat)
+    shaped = sum(len(w) for w in words if (1 < len(w) < 20 and (w.islower() or w.istitle() or w.isupper()) and _SHAPE.match(w)) or w in {"a", "o", "v", "y", "e"})
+    readable = shaped / max(1, len(re.sub(r"\s", "", flat)))
+    if len(words) >= 12 and len({w.lower() for w in words}) <= 3 and not re.search(r"\d", flat):
+        return "junk"  # one thing over and over
+    signs = set()
+    tabular = False
+    for mark in (r"\s*\|\s*", r"\s*¦\s*", r"\t+", r";(?=\S)", r" {2,}"):
+        cells = [re.split(mark, x.strip()) for x in lines]
+        sizes = [len(c) for c in cells]
+        k = max(set(sizes), key=sizes.count)
+        if k >= 3 and sizes.count(k) >= 0.8 * len(lines):
+            body = [c for row in cells if len(row) == k for c in row]
+            if sum(bool(re.fullmatch(r"[-+]?[\d.,:/%-]+", c.strip())) for c in body) >= 0.2 * len(body):
+                tabular = True
+    if tabular:
+        signs.add("table")
+    entries = [e for x in lines for e in (re.split(r";\s+", x) if _BULLET.match(x) else [x])]
+    entry = sum(bool((_CITATION.match(_BULLET.sub("", e)) or _PARTIES.search(e) or _BULLET.match(e)) and len(e.split()) <= 14) for e in entries)
+    if entry >= 0.75 * len(entries) and len(entries) >= 2 and sentences < 0.2 * len(flat) and not tabular:
+        signs.add("list")
+    if sentences >= 0.3 * len(flat) and readable > 0.5:
+        signs.add("prose")
+    if readable < 0.45 and sentences < 0.05 * len(flat) and not tabular and entry < 0.2 * len(entries):
+        signs.add("junk")
+    return signs.pop() if len(signs) == 1 else None
+
+
+Rule = tuple[str, list[tuple[str, str, float]]]
+
+
+def _covers(x: pd.DataFrame, conditions: list[tuple[str, str, float]]) -> np.ndarray:
+    hit = np.ones(len(x), bool)
+    for name, op, at in conditions:
+        v = x[name].to_numpy(float)
+        hit &= (v <= at) if op == "<=" else (v > at)
+    return hit
+
+
+def _grow(x: pd.DataFrame, y: np.ndarray, features: Sequence[str]) -> list[tuple[str, str, float]]:
+    """Conditions by greatest information gain until no other class is covered."""
+    rule: list[tuple[str, str, float]] = []
+    hit = np.ones(len(y), bool)
+    while (hit & ~y).any() and len(rule) < 8:
+        p0, n0 = (hit & y).sum(), (hit & ~y).sum()
+        base, best = np.log2(p0 / (p0 + n0)), (1e-9, None)
+        for name in features:
+            v, own = x[name].to_numpy(float)[hit], y[hit]
+            order = np.argsort(v, kind="stable")
+            v, own = v[order], own[order]
+            edge = np.flatnonzero(v[1:] > v[:-1])
+            if not len(edge):
+                continue
+            p, n = np.cumsum(own)[edge].astype(float), np.cumsum(~own)[edge].astype(float)
+            for op, a, b in (("<=", p, n), (">", p0 - p, n0 - n)):
+                gain = np.where(a > 0, a * (np.log2(np.maximum(a, 1e-9) / np.maximum(a + b, 1e-9)) - base), -1)
+                k = int(np.argmax(gain))
+                if gain[k] > best[0]:
+                    best = (gain[k], (name, op, float((v[edge[k]] + v[edge[k] + 1]) / 2)))
+        if best[1] is None:
+            break
+        rule.append(best[1])
+        hit &= _covers(x, rule[-1:])
+    return rule
+
+
+def induce_rules(x: pd.DataFrame, labels: np.ndarray, *, order: Sequence[str] = KINDS, features: Sequence[str] = FEATURES, most_errors: float = 0.25, seed: int = 7) -> list[Rule]:
+    """An ordered rule list by incremental reduced-error pruning; rows that no rule covers are prose."""
+    rng, rules = np.random.default_rng(seed), []
+    left = np.ones(len(labels), bool)
+    for kind in sorted(order, key=lambda k: (labels == k).sum()):
+        while (left & (labels == kind)).sum() >= 3:
+            rows = np.flatnonzero(left)
+            y = labels[rows] == kind
+            part = np.zeros(len(rows), bool)  # a third of each side is kept for pruning
+            for side in (np.flatnonzero(y), np.flatnonzero(~y)):
+                part[rng.permutation(side)[: len(side) // 3]] = True
+            rule = _grow(x.iloc[rows[~part]], y[~part], features)
+            worth = []
+            for k in range(1, len(rule) + 1):
+                hit = _covers(x.iloc[rows[part]], rule[:k])
+                p, n = (hit & y[part]).sum(), (hit & ~y[part]).sum()
+                worth.append(((p - n) / max(1, p + n), p))
+            if not rule:
+                break
+            rule = rule[: max(range(len(rule)), key=lambda k: (worth[k][0], worth[k][1], k)) + 1]
+            hit = _covers(x.iloc[rows], rule)
+            if not (hit & y).any() or (hit & ~y).sum() > most_errors * hit.sum():
+                break
+            rules.append((kind, rule))
+            left[rows[hit]] = False
+    return rules
+
+
+def rules_sql(rules: Sequence[Rule]) -> str:
+    """The rule list as one SQL CASE expression over the statistics."""
+    when = [f"when {' and '.join(f'{name} {op} {at!r}D' for name, op, at in rule)} then '{kind}'" for kind, rule in rules]
+    return f"case {' '.join(when)} else 'prose' end" if when else "'prose'"
+
+
+def labelled_sample(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, sample: int = 6000) -> pd.DataFrame:
+    """The statistics and labels of about ``sample`` documents, drawn by a hash of their key."""
+    total = max(1, documents.count())
+    share = min(1.0, sample / total)
+    drawn = documents.where(F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
+    label = F.pandas_udf(lambda t: t.map(weak_label, na_action="ignore"), "string")
+    rows = text_statistics(drawn, key, text, lang)
+    labels = drawn.select(F.col(key), label(F.col(text)).alias("label"))
+    return rows.where("readable").join(labels.where("label is not null").dropDuplicates([key]), key).select(*FEATURES, "label").toPandas()
+
+
+def document_kinds(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, sample: int = 6000, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """(key, kind): prose, list, table or junk for every document with visible text."""
+    if rules is None:
+        rows = labelled_sample(documents, key, text, lang, sample=sample)
+        rules = induce_rules(rows, rows["label"].to_numpy(object))
+    return text_statistics(documents, key, text, lang).where("readable").select(key, F.expr(rules_sql(rules)).alias("kind"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parallax.functions.text import clean
 from parallax.llm.leaks import leaked_items
+from parallax.llm.quality import document_kinds, text_statistics
 from parallax.llm.tokens import encode_corpus
 from parallax.llm.truncation import cut_values, truncation_report
 from parallax.llm.vocabulary import map_values
@@ -55,5 +56,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(exact, "name", "left_anti").join(p6_names(spark, d), "name").select("child_table", "row_id", "param_id").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_names": p6_names, "p3_found": p3_found, "p3_report": p3_report, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return document_kinds(table(spark, d, "documents")).where("kind <> 'prose'")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_statistics(table(spark, d, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p6_found": p6_found, "p6_names": p6_names, "p3_found": p3_found, "p3_report": p3_report, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
