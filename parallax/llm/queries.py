@@ -7,9 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.functions.text import clean
+from parallax.functions.text import clean, fold, is_blank
+from parallax.functions.units import with_quantity
 from parallax.llm.leaks import leaked_items
 from parallax.llm.quality import document_kinds, text_statistics
+from parallax.llm.survivor import surviving_records
 from parallax.llm.tokens import encode_corpus
 from parallax.llm.truncation import cut_values, truncation_report
 from parallax.llm.vocabulary import map_values
@@ -64,5 +66,25 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_statistics(table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p6_found": p6_found, "p6_names": p6_names, "p3_found": p3_found, "p3_report": p3_report, "p8_ids": p8_ids, "p9_found": p9_found}
+#: What extractors write where they found nothing.
+PLACEHOLDERS = ("n/a", "-", "see above")
+
+
+def _filled(c: str):
+    return ~is_blank(c) & ~clean(c).isin(*PLACEHOLDERS)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    trust = table(spark, d, "extractor").groupBy(clean("extraction_version").alias("version")).agg(F.max("trust").alias("trust"))
+    claims = table(spark, d, "claim").select(
+        "id", clean("entity_id").alias("entity_id"), "doc_id", "page", fold("attribute").alias("attribute"), "raw_value", "span_text", "section", clean("extraction_version").alias("version"), "created_at"
+    )
+    rows = with_quantity(claims, "q", "raw_value").where("q is not null").join(trust, "version", "left").withColumn("magnitude", F.col("q.magnitude")).withColumn("common", F.col("q.common"))
+    return surviving_records(
+        rows, ["entity_id", "doc_id", "page", "attribute", "common"], id="id", value="magnitude", trust=F.col("trust"), time=F.col("created_at"),
+        fields={"raw_value": F.lit(True), "span_text": _filled("span_text"), "section": _filled("section")},
+    )
+
+
+QUERIES = {"p4_found": p4_found, "p10_found": p10_found, "p10_statistics": p10_statistics, "p6_found": p6_found, "p6_names": p6_names, "p3_found": p3_found, "p3_report": p3_report, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
