@@ -89,10 +89,12 @@ def surviving_records(rows: DataFrame, keys: Sequence[str], *, id: str, value: s
         .where("lowest <> highest").select("lowest", "rows")
     )
 
+    out = [f"{f}_from" for f in fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            picked = [pick_survivors(rows, len(fields)) for rows in b.column(1).to_pylist()]
-            columns = [pa.array([p[k] for p in picked], b.column(0).type) for k in range(len(fields))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["group_id", *[f"{f}_from" for f in fields]])
+            picked = [pick_survivors(rows, len(out)) for rows in b.column(1).to_pylist()]
+            columns = [pa.array([p[k] for p in picked], b.column(0).type) for k in range(len(out))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["group_id", *out])
 
     return groups.mapInArrow(run, "group_id string, " + ", ".join(f"{f}_from string" for f in fields))
