@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from parallax.functions.text import clean, fold, is_blank
 from parallax.functions.units import with_quantity
 from parallax.llm.leaks import leaked_items
+from parallax.llm.matching import match_mentions
 from parallax.llm.quality import document_kinds, text_statistics
 from parallax.llm.survivor import surviving_records
 from parallax.llm.tokens import encode_corpus
 from parallax.llm.truncation import cut_values, truncation_report
-from parallax.llm.vocabulary import map_values
+from parallax.llm.vocabulary import map_values, name_tokens
 from parallax.session import table
 
 #: Folder of the public tokenizers; a parameter, nothing is copied.
@@ -86,5 +87,39 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p10_found": p10_found, "p10_statistics": p10_statistics, "p6_found": p6_found, "p6_names": p6_names, "p3_found": p3_found, "p3_report": p3_report, "p8_ids": p8_ids, "p9_found": p9_found}
+def _document(c: str):
+    """A document id in one spelling: cleaned, without the ending of a file."""
+    return F.regexp_replace(clean(c), r"\.pdf$", "")
+
+
+def _equipment(spark: SparkSession, d: str) -> DataFrame:
+    pair, claim, entity, extracted = (table(spark, d, t) for t in ("fixture_pair", "claim", "entity", "extracted_claim"))
+    sides = [pair.select(_document(c).alias("doc"), clean("project_id").alias("scope")) for c in ("doc_id_a", "doc_id_b")]
+    scopes = sides[0].unionByName(sides[1]).where("doc is not null and scope is not null").groupBy("doc").agg(F.min("scope").alias("scope"))
+    stored = with_quantity(claim.select(clean("entity_id").alias("key"), _document("doc_id").alias("doc"), "page", "raw_value"), "q", "raw_value")
+    fact = lambda: F.concat_ws("|", "doc", F.col("page").cast("string"), F.coalesce(F.concat_ws(" ", F.format_string("%.4e", F.col("q.magnitude")), F.col("q.common")), fold("raw_value")))
+    claims = stored.groupBy("key").agg(F.collect_set(fact()).alias("facts"))
+    # The scope of an entry without one: where most of its claims were made.
+    homes = stored.join(scopes, "doc").groupBy("key", "scope").count().groupBy("key").agg(F.max_by("scope", F.struct("count", "scope")).alias("home"))
+    entries = (
+        entity.where("type <> 'implicit'").withColumn("key", clean("id")).join(claims, "key", "left").join(homes, "key", "left")
+        .select(F.col("id").alias("entry"), F.coalesce(clean("project_id"), "home").alias("scope"), F.col("type").alias("kind"), "label", "facts")
+    )
+    read = with_quantity(extracted.select("extraction_id", _document("doc_id").alias("doc"), "page", "raw_value", "entity_tag", "span_text").dropDuplicates(["extraction_id"]), "q", "raw_value")
+    mentions = read.join(scopes, "doc", "left").select(F.col("extraction_id").alias("id"), "scope", F.col("entity_tag").alias("tag"), F.col("span_text").alias("span"), F.array(fact()).alias("facts"))
+    reference = table(spark, d, "parameter_ref").select(F.explode(F.array_union(F.array("name"), "aliases")).alias("n")).select(F.explode(name_tokens(F.col("n"), ())).alias("w")).distinct()
+    return match_mentions(mentions, entries, parameter_words=[r.w for r in reference.collect()])
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every consistent candidate with its confidence."""
+    return _equipment(spark, d).where("consistent").select(F.col("id").alias("extraction_id"), F.col("entry").alias("entity_id"), F.round("posterior", 4).alias("confidence"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    best = _equipment(spark, d).where("consistent").groupBy("id").agg(F.max_by("entry", F.struct("posterior", "entry")).alias("entity_id"), F.max("posterior").alias("p"))
+    return best.where("p > 0.5").select(F.col("id").alias("extraction_id"), "entity_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p10_found": p10_found, "p10_statistics": p10_statistics, "p6_found": p6_found, "p6_names": p6_names, "p3_found": p3_found, "p3_report": p3_report, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
