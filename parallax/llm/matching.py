@@ -111,17 +111,29 @@ def block_keys(scope: str | None, m: Mention) -> list[str]:
     keys = []
     words = m.place.split()
     name, area = (words[0], words[-1]) if words else ("", "")
-    variants = {name, *(name[:i] + name[i + 1 :] for i in range(len(name)))} if len(name) >= 4 else {name} - {""}
     if scope is None:
-        return [f"?|{m.number}|{v}" for v in variants] if m.number is not None else [f"?|{m.kind}|{area}|{v}" for v in variants]
+        if words and m.number is not None:
+            keys += [f"?|{m.number}|{name[:3]}", f"?|{m.number}|{area}"]
+        if words:
+            keys.append(f"?|{m.kind}|{area}|{name[:3]}")
+        return keys
     if m.number is not None:
         keys.append(f"{scope}|n|{m.number}")
-    keys += [f"{scope}|v|{v}" for v in variants]
-    if len(words) > 1 and m.kind:
-        keys.append(f"{scope}|a|{m.kind}|{area}|{name[:1]}")
+    if words:
+        variants = {name, *(name[:i] + name[i + 1 :] for i in range(len(name)))} if len(name) >= 4 else {name}
+        keys += [f"{scope}|v|{v}" for v in sorted(variants)]
+        if len(words) > 1 and m.kind:
+            keys.append(f"{scope}|a|{m.kind}|{area}|{name[:1]}")
     return keys
 
 
+def mention_keys(scope: str | None, m: Mention) -> list[str]:
+    """The keys of a mention: its number, if it has one, else its place; and those of entries of no known scope."""
+    if scope is None or (m.number is None and not m.place):
+        return []
+    return block_keys(scope, m if m.number is None else Mention(m.kind, m.number, "")) + block_keys(None, m)
+
+
 def pair_vector(a: Mention, b: Mention, supported: bool) -> tuple[float, float, float, float]:
     """Agreement of number, kind and place, not-a-number where one side is silent, and support by a stored claim."""
     agree = lambda x, y: math.nan if x is None or y is None else float(x == y)
@@ -161,11 +173,14 @@ class Mixture:
                 out[own] += sign * (-0.5 * np.linalg.slogdet(part)[1] - 0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(part), d))
         return np.clip(out, -60, 60)
 
-    def posteriors(self, x: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Match probabilities under the constraints: one of the candidates of an owner or none, and no contradiction."""
+    def posteriors(self, x: np.ndarray, owner: np.ndarray, bonus: float = 4.0) -> np.ndarray:
+        """Match probabilities under the constraints: one of the candidates of an owner or none, and no contradiction.
+
+        The last column, support by a stored claim, is too rare for a Gaussian; it multiplies the odds by ``bonus``.
+        """
         if not len(x):
             return np.empty(0)
-        ratio = np.exp(self.log_ratio(x)) * consistent(x)
+        ratio = np.exp(self.log_ratio(x[:, :-1])) * consistent(x) * np.where(x[:, -1] > 0, bonus, 1.0)
         return ratio / (1 + np.bincount(owner, ratio))[owner]
 
     @staticmethod
@@ -192,10 +207,11 @@ class Mixture:
         return new
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    lists = column.to_pylist()
-    owner = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
-    return np.array([c["x"] for v in lists for c in v], float).reshape(len(owner), -1), owner
+def _flat(column: pa.Array, dims: int = 4) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Vectors, the row that each belongs to, and entries of array<struct<entry, x>>, without making Python objects."""
+    owner = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    inner = column.flatten()
+    return inner.field(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims), owner, inner.field(0)
 
 
 def fit_mixture(candidates: DataFrame, dims: int, steps: int) -> Mixture:
@@ -205,10 +221,10 @@ def fit_mixture(candidates: DataFrame, dims: int, steps: int) -> Mixture:
         def sums(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, 1 + 3 * dims * dims))
             for b in batches:
-                x, owner = _flat(b.column(0))
+                x, owner, _ = _flat(b.column(0), dims + 1)
                 if len(x):
                     p = model.posteriors(x, owner)
-                    total += [Mixture.sums(x, p), Mixture.sums(x, 1 - p)]
+                    total += [Mixture.sums(x[:, :-1], p), Mixture.sums(x[:, :-1], 1 - p)]
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
 
         parts = candidates.select("c").mapInArrow(sums, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
@@ -218,19 +234,19 @@ def fit_mixture(candidates: DataFrame, dims: int, steps: int) -> Mixture:
     return model
 
 
-def match_mentions(mentions: DataFrame, entries: DataFrame, *, parameter_words: Sequence[str] = (), steps: int = 8) -> DataFrame:
+def match_mentions(mentions: DataFrame, entries: DataFrame, facts: DataFrame, *, parameter_words: Sequence[str] = (), steps: int = 8) -> DataFrame:
     """(id, entry, posterior, consistent): every candidate pair with its match probability.
 
-    ``mentions``: id, scope, tag, span, facts array<string>. ``entries``: entry, scope, kind, label, facts. A pair is supported when
-    the two share a fact; it is ``consistent`` when no part of the names contradicts.
+    ``mentions``: id, scope, tag, span, fact. ``entries``: entry, scope, kind, label. ``facts``: entry, fact. A pair is supported when
+    the entry has the fact of the mention; it is ``consistent`` when no part of the names contradicts.
     """
     words = frozenset(parameter_words)
 
     def read_m(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [mention_of(t, s, words) for t, s in zip(b["tag"], b["span"], strict=True)]
-            keys = [[] if m.number is None and not m.place or s is None else block_keys(s, m) + block_keys(None, m) for m, s in zip(got, b["scope"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "kind": [m.kind for m in got], "number": pd.array([m.number for m in got], "Int64"), "place": [m.place for m in got], "keys": keys})
+            keys = [mention_keys(s, m) for m, s in zip(got, b["scope"], strict=True)]
+            yield pd.DataFrame({"id": b["id"], "fact": b["fact"], "kind": [m.kind for m in got], "number": pd.array([m.number for m in got], "Int64"), "place": [m.place for m in got], "keys": keys})
 
     def read_e(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -239,14 +255,13 @@ def match_mentions(mentions: DataFrame, entries: DataFrame, *, parameter_words:
             yield pd.DataFrame({"entry": b["entry"], "e_kind": [m.kind for m in got], "e_number": pd.array([m.number for m in got], "Int64"), "e_place": [m.place for m in got], "keys": [block_keys(s, m) for m, s in zip(got, b["scope"], strict=True)]})
 
     id_type, entry_type = mentions.schema["id"].dataType.simpleString(), entries.schema["entry"].dataType.simpleString()
-    ms = mentions.select("id", "scope", "tag", "span").mapInPandas(read_m, f"id {id_type}, kind string, number bigint, place string, keys array<string>")
+    ms = mentions.select("id", "scope", "tag", "span", "fact").mapInPandas(read_m, f"id {id_type}, fact bigint, kind string, number bigint, place string, keys array<string>")
     es = entries.select("entry", "scope", "kind", "label").mapInPandas(read_e, f"entry {entry_type}, e_kind string, e_number bigint, e_place string, keys array<string>")
-    ids = ms.select("id", F.explode("keys").alias("key")).join(es.select("entry", F.explode("keys").alias("key")), "key").select("id", "entry").distinct()
-    shared = mentions.select("id", F.explode("facts").alias("f")).join(entries.select("entry", F.explode("facts").alias("f")).distinct(), "f").select("id", "entry").distinct().withColumn("supported", F.lit(True))
-    pairs = (
-        ids.join(ms.drop("keys"), "id").join(es.drop("keys"), "entry").join(shared, ["id", "entry"], "left")
-        .groupBy("id").agg(F.collect_list(F.struct("entry", "kind", "number", "place", "e_kind", "e_number", "e_place", F.coalesce("supported", F.lit(False)).alias("supported"))).alias("p"))
-    )
+    met = ms.withColumn("key", F.explode("keys")).drop("keys").join(es.withColumn("key", F.explode("keys")).drop("keys"), "key").drop("key")
+    support = facts.select("entry", "fact").distinct().withColumn("supported", F.lit(True))
+    pairs = met.join(support, ["entry", "fact"], "left").groupBy("id").agg(
+        F.collect_set(F.struct("entry", "kind", "number", "place", "e_kind", "e_number", "e_place", F.coalesce("supported", F.lit(False)).alias("supported"))).alias("p")
+    )
     entry_arrow = pa.string() if entry_type == "string" else pa.int64()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,14 +273,11 @@ def match_mentions(mentions: DataFrame, entries: DataFrame, *, parameter_words:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["id", "c"])
 
     candidates = checkpoint(pairs.mapInArrow(vectors, f"id {id_type}, c array<struct<entry: {entry_type}, x: array<double>>>"))
-    model = fit_mixture(candidates, 4, steps)
+    model = fit_mixture(candidates, 3, steps)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, owner = _flat(b.column(1))
-            entry = [c["entry"] for v in b.column(1).to_pylist() for c in v]
-            p = model.posteriors(x, owner)
-            fine = consistent(x)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array(entry, entry_arrow), pa.array(p), pa.array(fine)], names=["id", "entry", "posterior", "consistent"])
+            x, owner, entry = _flat(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), entry, pa.array(model.posteriors(x, owner), pa.float64()), pa.array(consistent(x), pa.bool_())], names=["id", "entry", "posterior", "consistent"])
 
     return candidates.mapInArrow(score, f"id {id_type}, entry {entry_type}, posterior double, consistent boolean")

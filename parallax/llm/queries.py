@@ -96,19 +96,17 @@ def _equipment(spark: SparkSession, d: str) -> DataFrame:
     pair, claim, entity, extracted = (table(spark, d, t) for t in ("fixture_pair", "claim", "entity", "extracted_claim"))
     sides = [pair.select(_document(c).alias("doc"), clean("project_id").alias("scope")) for c in ("doc_id_a", "doc_id_b")]
     scopes = sides[0].unionByName(sides[1]).where("doc is not null and scope is not null").groupBy("doc").agg(F.min("scope").alias("scope"))
-    stored = with_quantity(claim.select(clean("entity_id").alias("key"), _document("doc_id").alias("doc"), "page", "raw_value"), "q", "raw_value")
-    fact = lambda: F.concat_ws("|", "doc", F.col("page").cast("string"), F.coalesce(F.concat_ws(" ", F.format_string("%.4e", F.col("q.magnitude")), F.col("q.common")), fold("raw_value")))
-    claims = stored.groupBy("key").agg(F.collect_set(fact()).alias("facts"))
+    fact = F.xxhash64("doc", "page", fold("raw_value"))
+    stored = claim.select(clean("entity_id").alias("key"), _document("doc_id").alias("doc"), "page", "raw_value")
+    known = entity.where("type <> 'implicit'").withColumn("key", clean("id"))
     # The scope of an entry without one: where most of its claims were made.
-    homes = stored.join(scopes, "doc").groupBy("key", "scope").count().groupBy("key").agg(F.max_by("scope", F.struct("count", "scope")).alias("home"))
-    entries = (
-        entity.where("type <> 'implicit'").withColumn("key", clean("id")).join(claims, "key", "left").join(homes, "key", "left")
-        .select(F.col("id").alias("entry"), F.coalesce(clean("project_id"), "home").alias("scope"), F.col("type").alias("kind"), "label", "facts")
-    )
-    read = with_quantity(extracted.select("extraction_id", _document("doc_id").alias("doc"), "page", "raw_value", "entity_tag", "span_text").dropDuplicates(["extraction_id"]), "q", "raw_value")
-    mentions = read.join(scopes, "doc", "left").select(F.col("extraction_id").alias("id"), "scope", F.col("entity_tag").alias("tag"), F.col("span_text").alias("span"), F.array(fact()).alias("facts"))
+    homes = stored.join(known.where("project_id is null").select("key"), "key", "left_semi").join(scopes, "doc").groupBy("key", "scope").count().groupBy("key").agg(F.max_by("scope", F.struct("count", "scope")).alias("home"))
+    entries = known.join(homes, "key", "left").select(F.col("id").alias("entry"), F.coalesce(clean("project_id"), "home").alias("scope"), F.col("type").alias("kind"), "label")
+    facts = stored.select("key", fact.alias("fact")).join(known.select("key", F.col("id").alias("entry")), "key").select("entry", "fact")
+    read = extracted.select("extraction_id", _document("doc_id").alias("doc"), "page", "raw_value", "entity_tag", "span_text")
+    mentions = read.join(scopes, "doc", "left").select(F.col("extraction_id").alias("id"), "scope", F.col("entity_tag").alias("tag"), F.col("span_text").alias("span"), fact.alias("fact"))
     reference = table(spark, d, "parameter_ref").select(F.explode(F.array_union(F.array("name"), "aliases")).alias("n")).select(F.explode(name_tokens(F.col("n"), ())).alias("w")).distinct()
-    return match_mentions(mentions, entries, parameter_words=[r.w for r in reference.collect()])
+    return match_mentions(mentions, entries, facts, parameter_words=[r.w for r in reference.collect()])
 
 
 def p2_matches(spark: SparkSession, d: str) -> DataFrame:
