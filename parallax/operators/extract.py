@@ -16,11 +16,12 @@ Pattern = tuple[str, str, str | None]
 
 def pattern_matches(text: Column, patterns: Sequence[Pattern], label_value: str | None = fixed.LABEL_VALUE) -> Column:
     """array<struct<k, n, name, raw_value>> of all matches: patterns in order, then one label with number and unit."""
-    found = []
-    for k, (pattern, name, unit) in enumerate(patterns):
+    def matches(k: int, pattern: str, name: str, unit: str | None) -> Column:
         tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        raw = (lambda t: t) if unit is None else (lambda t, u=unit: F.concat(t, F.lit(f" {u}")))
-        found.append(F.transform(tokens, lambda t, i, k=k, name=name, raw=raw: F.struct(F.lit(k).alias("k"), i.alias("n"), F.lit(name).alias("name"), raw(t).alias("raw_value"))))
+        raw = lambda t: t if unit is None else F.concat(t, F.lit(f" {unit}"))
+        return F.transform(tokens, lambda t, i: F.struct(F.lit(k).alias("k"), i.alias("n"), F.lit(name).alias("name"), raw(t).alias("raw_value")))
+
+    found = [matches(k, *p) for k, p in enumerate(patterns)]
     if label_value:
         part = lambda g: F.regexp_extract(text, label_value, g)
         one = F.struct(F.lit(len(patterns)).alias("k"), F.lit(0).alias("n"), strip(part(1)).alias("name"), F.concat(part(2), F.lit(" "), part(3)).alias("raw_value"))

@@ -99,15 +99,14 @@ def layout_statistics(pages: DataFrame, keys: Sequence[str], text: str, image_sh
 
 def implausible_tokens(texts: DataFrame, keys: Sequence[str], text: str, patterns=fixed.PLAUSIBLE_PATTERNS, ranges=fixed.PLAUSIBLE_RANGES) -> DataFrame:
     """(keys, token, family, value): numbers outside the plausible range of their family."""
-    found = []
-    for pattern, family, factor in patterns:
+    def bad(pattern: str, family: str, factor: float) -> Column:
         lo, hi = ranges[family]
+        number = lambda t: F.regexp_replace(F.regexp_extract(t, pattern, 1), ",", "").try_cast("double") * factor
         tokens = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-        bad = F.filter(
-            F.transform(tokens, lambda t, p=pattern, k=factor: F.struct(t.alias("token"), (F.regexp_replace(F.regexp_extract(t, p.lstrip("^"), 1), ",", "").try_cast("double") * k).alias("value"))),
-            lambda r, lo=lo, hi=hi: ~r["value"].between(lo, hi),
-        )
-        found.append(F.transform(bad, lambda r, f=family: F.struct(r["token"].alias("token"), F.lit(f).alias("family"), r["value"].alias("value"))))
+        read = F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(family).alias("family"), number(t).alias("value")))
+        return F.filter(read, lambda r: ~r["value"].between(lo, hi))
+
+    found = [bad(*p) for p in patterns]
     return texts.select(*keys, F.explode(F.concat(*found)).alias("r")).select(*keys, "r.token", "r.family", "r.value")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.queries import problems
+from parallax.queries import problems, reference
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
+SQL = {**reference.SQL, **problems.SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p1_trailing"](spark, sf_dir)
+    """The flagship: orders reviewed against the totals of their lines."""
+    return QUERIES["review_totals"](spark, sf_dir)
