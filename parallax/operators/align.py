@@ -21,7 +21,9 @@ def _prepared(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys, "page", F.lower(strip("name")).alias("nm"), "record_id", "ord", F.coalesce("entity_tag", F.lit("")).alias("tag"), middle(F.col("bbox.y0"), F.col("bbox.y1")).alias("y"),
         F.col("normalized_magnitude").isNotNull().alias("numeric"), designation_family("raw_value").alias("family"), "raw_value",
     )
-    return with_base_quantity(rows, "raw_value", "q").select(*keys, "page", "nm", "record_id", "ord", "tag", "y", "numeric", "family", clean("raw_value").alias("folded"), F.col("q.magnitude").alias("m"), F.col("q.dimension").alias("d"))
+    # Fresh attributes, so that both sides may come from one frame.
+    fresh = [F.col(c).alias(c) for c in (*keys, "page", "record_id", "ord")]
+    return with_base_quantity(rows, "raw_value", "q").select(*fresh, "nm", "tag", "y", "numeric", "family", clean("raw_value").alias("folded"), F.col("q.magnitude").alias("m"), F.col("q.dimension").alias("d"))
 
 
 def _same_value(a, b, tolerance: float = 1e-3) -> bool:
