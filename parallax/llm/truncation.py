@@ -34,16 +34,16 @@ MARKS = r"(?:…|�|\.\.\.|\[\.\.\.\]|\[…\])$"
 
 
 def long_values(df: DataFrame, key: str, source: Column, fields: Sequence[str], anchor: str | None = None) -> DataFrame:
-    """(key, source, field, value, anchor): the usable values, one for each key and field."""
+    """(key, source, field, value, characters, bytes, anchor): the usable values, one for each key and field; sizes are those before outer blanks go."""
     parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
     rows = df.select(F.col(key).alias("key"), source.alias("source"), (F.col(anchor) if anchor else F.lit(None).cast("string")).alias("anchor"), F.explode(parts).alias("v"))
-    rows = rows.select("key", "source", "anchor", "v.field", strip("v.value").alias("value")).where("value <> ''")
+    rows = rows.select("key", "source", "anchor", "v.field", strip("v.value").alias("value"), F.length("v.value").alias("characters"), F.octet_length("v.value").alias("bytes")).where("value <> ''")
     return rows.dropDuplicates(["key", "field", "value"])
 
 
 def length_limits(values: DataFrame, *, least: int = 5, factor: float = 5.0, beyond: float = 0.005, span: int = 10) -> DataFrame:
     """(source, field, unit, limit, values, at_limit): the lengths at which a field of a source is cut off."""
-    measures = F.array(F.struct(F.lit("characters").alias("unit"), F.length("value").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("value").alias("n")))
+    measures = F.array(F.struct(F.lit("characters").alias("unit"), F.col("characters").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))
     histogram = values.select("source", "field", F.explode(measures).alias("m")).groupBy("source", "field", "m.unit", "m.n").agg(F.count(F.lit(1)).alias("c"))
     group = Window.partitionBy("source", "field", "unit")
     by = group.orderBy("n")
@@ -79,8 +79,8 @@ def cut_values(df: DataFrame, key: str, source: Column, fields: Sequence[str], *
         values.join(F.broadcast(sizes), ["source", "field"], "left").withColumn("before", before).withColumn("piece", piece)
         .withColumn("ended", F.col("value").rlike(TERMINAL) & ~F.col("value").rlike(MARKS))
         .withColumn("quoted", F.coalesce(F.endswith("value", strip("anchor")) & ~is_blank("anchor"), F.lit(False)))
-        .withColumn("exact", F.coalesce(F.array_contains("characters_0", F.length("value")) | F.array_contains("bytes_0", F.octet_length("value")), F.lit(False)))
-        .withColumn("near", F.coalesce(F.array_contains("characters_1", F.length("value")) | F.array_contains("bytes_1", F.octet_length("value")), F.lit(False)))
+        .withColumn("exact", F.coalesce(F.array_contains("characters_0", F.col("characters")) | F.array_contains("bytes_0", F.col("bytes")), F.lit(False)))
+        .withColumn("near", F.coalesce(F.array_contains("characters_1", F.col("characters")) | F.array_contains("bytes_1", F.col("bytes")), F.lit(False)))
     )
     # Word pairs of the whole corpus: how often w follows p inside a text, and how often it closes a sentence there.
     words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
