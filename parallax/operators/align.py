@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,47 +27,47 @@ def _prepared(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return with_base_quantity(rows, "raw_value", "q").select(*fresh, "nm", "tag", "y", "numeric", "family", clean("raw_value").alias("folded"), F.col("q.magnitude").alias("m"), F.col("q.dimension").alias("d"))
 
 
-def _same_value(a, b, tolerance: float = 1e-3) -> bool:
-    if a.folded == b.folded:
+def _same_value(a: dict, b: dict, tolerance: float = 1e-3) -> bool:
+    if a["folded"] == b["folded"]:
         return True
-    if a.d is None or a.d != b.d or pd.isna(a.m) or pd.isna(b.m):
+    if a["d"] is None or a["d"] != b["d"] or a["m"] is None or b["m"] is None:
         return False
-    return a.m == 0 if b.m == 0 else abs(a.m - b.m) / abs(b.m) <= tolerance
+    return a["m"] == 0 if b["m"] == 0 else abs(a["m"] - b["m"]) / abs(b["m"]) <= tolerance
 
 
-def pair_bucket(left: pd.DataFrame, right: pd.DataFrame, reach: float = 1000.0) -> list[tuple]:
+def pair_bucket(left: Sequence[dict], right: Sequence[dict], reach: float = 1000.0) -> list[tuple]:
     """(a, b, pairing_confidence, value_equivalent) for the records of one page and name; each record is used once.
 
     A record looks for partners with its tag, else with any tag. Where counts differ or positions tell
     nothing, only an equal value pairs; else the nearest by height does, within ``reach``.
     """
-    a_rows, b_rows = (list(df.sort_values("ord", kind="stable").itertuples()) for df in (left, right))
+    a_rows, b_rows = (sorted(rows, key=lambda r: r["ord"]) for rows in (left, right))
     n_a, n_b, used, out = len(a_rows), len(b_rows), set(), []
     for a in a_rows:
-        fits = [b for b in b_rows if a.numeric or a.family is None or b.family is None or a.family == b.family]
-        strict = [b for b in fits if b.tag == a.tag]
+        fits = [b for b in b_rows if a["numeric"] or a["family"] is None or b["family"] is None or a["family"] == b["family"]]
+        strict = [b for b in fits if b["tag"] == a["tag"]]
         pool = strict or fits
-        free = [b for b in pool if b.record_id not in used]
+        free = [b for b in pool if b["record_id"] not in used]
         if not free:
             continue
-        anchored = bool(a.tag) and len(strict) == 1
+        anchored = bool(a["tag"]) and len(strict) == 1
         uneven = n_a != n_b and max(n_a, n_b) > 1
-        level = len(pool) > 1 and len({b.y for b in pool}) == 1
+        level = len(pool) > 1 and len({b["y"] for b in pool}) == 1
         if (uneven or level) and not anchored:
             best = next((b for b in free if _same_value(a, b)), None)
             if best is None:
                 continue
-            same_tag = a.tag == best.tag
-            sure = (1.0 if a.tag else 0.5) if same_tag else 0.4
+            same_tag = a["tag"] == best["tag"]
+            sure = (1.0 if a["tag"] else 0.5) if same_tag else 0.4
             equal = True
         else:
-            best = min(free, key=lambda b: abs(a.y - b.y))
-            if abs(a.y - best.y) > reach:
+            best = min(free, key=lambda b: abs(a["y"] - b["y"]))
+            if abs(a["y"] - best["y"]) > reach:
                 continue
-            sure = (1.0 if a.tag and a.tag == best.tag else 0.55 if a.tag != best.tag else 0.9 if n_a <= 1 and n_b <= 1 else 0.75)
+            sure = (1.0 if a["tag"] and a["tag"] == best["tag"] else 0.55 if a["tag"] != best["tag"] else 0.9 if n_a <= 1 and n_b <= 1 else 0.75)
             equal = _same_value(a, best)
-        used.add(best.record_id)
-        out.append((a.record_id, best.record_id, sure, equal))
+        used.add(best["record_id"])
+        out.append((a["record_id"], best["record_id"], sure, equal))
     return out
 
 
@@ -75,23 +76,27 @@ def align_exact(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("pair_id",),
 
     What one record uses up matters only to records of the same page and name, so each such bucket is
     paired on its own; a bucket is one name on one page of one pair of documents. Buckets with one record on either side, the
-    common case, need no order and are paired by a plain join and expressions.
+    common case, need no order and are paired by expressions; the others go through Python many at a time.
     """
     keys, bucket = list(keys), [*keys, "page", "nm"]
     left, right = _prepared(a, keys), _prepared(b, keys)
     id_type = a.schema["record_id"].dataType.simpleString()
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(pair_bucket(x, y, reach) if len(x) and len(y) else [], columns=["a_id", "b_id", "pairing_confidence", "value_equivalent"])
-
-    counts = left.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n_a")).join(right.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n_b")), bucket)
-    single = counts.where("n_a = 1 and n_b = 1").select(*bucket)
-    many = counts.where("n_a > 1 or n_b > 1").select(*bucket)
-    schema = f"a_id {id_type}, b_id {id_type}, pairing_confidence double, value_equivalent boolean"
-    crowded = left.join(many, bucket, "left_semi").groupBy(*bucket).cogroup(right.join(many, bucket, "left_semi").groupBy(*bucket)).applyInPandas(run, schema)
-    l2, r2 = (df.join(single, bucket, "left_semi").select(*bucket, *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in bucket]) for df, s in ((left, "l"), (right, "r")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column(0).type.value_type.field("record_id").type
+            got = [p for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in pair_bucket(x, y, reach)]
+            columns = list(zip(*got, strict=True)) or [[], [], [], []]
+            types = [kind, kind, pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["a_id", "b_id", "pairing_confidence", "value_equivalent"])
+
+    row = F.struct(*[c for c in left.columns if c not in bucket])
+    sides = [df.groupBy(*bucket).agg(F.count(F.lit(1)).alias(f"n_{s}"), F.collect_list(row).alias(s)) for df, s in ((left, "a"), (right, "b"))]
+    both = sides[0].join(sides[1], bucket)
+    crowded = both.where("n_a > 1 or n_b > 1").select("a", "b").mapInArrow(run, f"a_id {id_type}, b_id {id_type}, pairing_confidence double, value_equivalent boolean")
+    lone = both.where("n_a = 1 and n_b = 1").select(*[F.get(s, F.lit(0))[c].alias(f"{t}_{c}") for s, t in (("a", "l"), ("b", "r")) for c in left.columns if c not in bucket])
     q = lambda s: F.struct(F.col(f"{s}_m").alias("magnitude"), F.col(f"{s}_d").alias("dimension"))
-    lone = l2.join(r2, bucket).where((F.col("l_numeric") | F.coalesce(F.col("l_family") == F.col("r_family"), F.lit(True))) & (F.abs(F.col("l_y") - F.col("r_y")) <= reach)).select(
+    lone = lone.where((F.col("l_numeric") | F.coalesce(F.col("l_family") == F.col("r_family"), F.lit(True))) & (F.abs(F.col("l_y") - F.col("r_y")) <= reach)).select(
         F.col("l_record_id").alias("a_id"), F.col("r_record_id").alias("b_id"),
         F.when((F.col("l_tag") != "") & (F.col("l_tag") == F.col("r_tag")), 1.0).when(F.col("l_tag") != F.col("r_tag"), 0.55).otherwise(0.9).alias("pairing_confidence"),
         equivalent(F.col("l_folded"), q("l"), F.col("r_folded"), q("r")).alias("value_equivalent"),
@@ -240,5 +245,8 @@ def bind_to_ranges(records: DataFrame, ranges: DataFrame, keys: Sequence[str], *
     if width is not None:
         left, on = left.withColumn("bk", F.floor(F.col("v") / width)), [*on, "bk"]
         right = right.withColumn("bk", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    inside = left.join(right, on).where("v between lo and hi")
-    return inside.groupBy("record_id").agg(F.min_by("label", F.struct(F.col("hi") - F.col("lo"), "o")).alias("label"))
+    # The least width first, by a hash aggregate over all hits; then the ranges of just that width, an equi-join.
+    hits = left.join(right, on).where("v between lo and hi")
+    least = hits.groupBy("record_id").agg(F.min(F.col("hi") - F.col("lo")).alias("w"))
+    tight = left.join(least, "record_id").join(right.withColumn("w", F.col("hi") - F.col("lo")), [*on, "w"]).where("v between lo and hi")
+    return tight.groupBy("record_id").agg(F.min_by("label", "o").alias("label"))

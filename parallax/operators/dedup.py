@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +17,22 @@ def lane_priority() -> Column:
     return F.when(F.col("extraction_lane") == "vision", 0).when((F.col("extraction_lane") == "llm_text") | marker, 1).otherwise(2)
 
 
-def _alike(a, b, tolerance: float) -> bool:
+def _alike(a: dict, b: dict, tolerance: float) -> bool:
     near = lambda x, y: abs(x - y) <= tolerance * max(abs(x), abs(y))
-    if not pd.isna(a.m) and not pd.isna(b.m):
-        return (not a.u or not b.u or a.u == b.u) and near(a.m, b.m)
-    return (a.form == b.form and a.form != "") or (not pd.isna(a.first) and not pd.isna(b.first) and near(a.first, b.first))
+    if a["m"] is not None and b["m"] is not None:
+        return (not a["u"] or not b["u"] or a["u"] == b["u"]) and near(a["m"], b["m"])
+    return (a["form"] == b["form"] and a["form"] != "") or (a["first"] is not None and b["first"] is not None and near(a["first"], b["first"]))
+
+
+def _repeats(rows: list[dict], tolerance: float) -> list:
+    """Ids of rows that repeat a kept one of another lane."""
+    kept, dropped = [], []
+    for r in sorted(rows, key=lambda r: (r["rank"], r["ord"])):
+        if any(k["lane"] != r["lane"] and _alike(k, r, tolerance) for k in kept):
+            dropped.append(r["id"])
+        else:
+            kept.append(r)
+    return dropped
 
 
 def drop_lane_duplicates(records: DataFrame, keys: Sequence[str] = ("doc_id",), tolerance: float = 1e-3) -> DataFrame:
@@ -31,18 +42,19 @@ def drop_lane_duplicates(records: DataFrame, keys: Sequence[str] = ("doc_id",),
     groups with several lanes are gathered; a group is one name on one page of one document.
     """
     group = [*keys, "page", "name"]
-    over = Window.partitionBy(*group)
-    slim = records.select(*group, "record_id", "ord", "extraction_lane", lane_priority().alias("rank"), F.col("normalized_magnitude").alias("m"), F.coalesce("normalized_unit", F.lit("")).alias("u"), value_form("raw_value").alias("form"), first_number("raw_value").alias("first"))
-    mixed = slim.withColumn("lo", F.min("extraction_lane").over(over)).withColumn("hi", F.max("extraction_lane").over(over)).where("lo <> hi").drop("lo", "hi")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        kept, dropped = [], []
-        for r in g.sort_values(["rank", "ord"], kind="stable").itertuples():
-            hit = any(k.extraction_lane != r.extraction_lane and _alike(k, r, tolerance) for k in kept)
-            (dropped if hit else kept).append(r)
-        return pd.DataFrame({"record_id": [r.record_id for r in dropped]})
-
-    gone = mixed.groupBy(*group).applyInPandas(run, f"record_id {records.schema['record_id'].dataType.simpleString()}")
+    row = F.struct(
+        F.col("record_id").alias("id"), "ord", F.col("extraction_lane").alias("lane"), lane_priority().alias("rank"), F.col("normalized_magnitude").alias("m"), F.coalesce("normalized_unit", F.lit("")).alias("u"),
+        value_form("raw_value").alias("form"), first_number("raw_value").alias("first"),
+    )
+    mixed = records.groupBy(*group).agg(F.min("extraction_lane").alias("lo"), F.max("extraction_lane").alias("hi"), F.collect_list(row).alias("rows")).where("lo <> hi").select("rows")
+    kind = records.schema["record_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = [i for rows in b.column(0).to_pylist() for i in _repeats(rows, tolerance)]
+            yield pa.RecordBatch.from_arrays([pa.array(gone, b.column(0).type.value_type.field("id").type)], names=["record_id"])
+
+    gone = mixed.mapInArrow(run, f"record_id {kind.simpleString()}")
     return records.join(gone, "record_id", "left_anti")
 
 

@@ -428,7 +428,7 @@ def nearest_vector(spark, d):
 @query("select event_id, arg_min(p_partkey, (hi - lo, p_partkey)) as label from events e join (select p_partkey, p_retailprice - 900 as lo, p_retailprice - 900 + p_size / 10 as hi from part) p on e.value between lo and hi group by 1")
 def range_bind(spark, d):
     ranges = table(spark, d, "part").select(F.col("p_partkey").alias("label"), (F.col("p_retailprice") - 900).alias("y_top"), (F.col("p_retailprice") - 900 + F.col("p_size") / 10).alias("y_bottom"), F.col("p_partkey").alias("ord"))
-    return align.bind_to_ranges(table(spark, d, "events"), ranges, [], value=F.col("value"), record_id="event_id", width=5.0).select(F.col("record_id").alias("event_id"), "label")
+    return align.bind_to_ranges(table(spark, d, "events"), ranges, [], value=F.col("value"), record_id="event_id", width=1.0).select(F.col("record_id").alias("event_id"), "label")
 
 
 @query("select o_orderkey, 'exact' as origin from orders where o_orderpriority = '1-URGENT' union all select min(o_orderkey), 'semantic' from orders o where o_totalprice > 1000 and o_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT') group by o_custkey")
