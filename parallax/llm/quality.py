@@ -196,9 +196,10 @@ def labelled_sample(documents: DataFrame, key: str = "doc_id", text: str = "text
     share = min(1.0, sample / total)
     drawn = documents.where(F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
     label = F.pandas_udf(lambda t: t.map(weak_label, na_action="ignore"), "string")
-    rows = text_statistics(drawn, key, text, lang)
-    labels = drawn.select(F.col(key), label(F.col(text)).alias("label"))
-    return rows.where("readable").join(labels.where("label is not null").dropDuplicates([key]), key).select(*FEATURES, "label").toPandas()
+    # The sample is small; spread it, as its texts may come from few files. Its labels ride along with the statistics.
+    drawn = drawn.select(F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang")).repartition(documents.sparkSession.sparkContext.defaultParallelism, "__id")
+    rows = drawn.withColumn("__key", F.struct("__id", label("__text").alias("label")))
+    return text_statistics(rows, "__key", "__text", "__lang").where("readable and __key.label is not null").select("__key.*", *FEATURES).dropDuplicates(["__id"]).drop("__id").toPandas()
 
 
 def document_kinds(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, sample: int = 6000, rules: Sequence[Rule] | None = None) -> DataFrame:
