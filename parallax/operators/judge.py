@@ -64,6 +64,55 @@ def vision_lane(pages: DataFrame, scorer: Scorer, *, cache: DataFrame | None = N
     return claims.select("doc_id", "page", "page_text", "c.*").where((F.col("parameter_name") != "") & (F.col("raw_value") != "") & grounded(F.col("entity_id"), F.col("page_text"))).drop("page_text")
 
 
+def ocr_lane(pages: DataFrame, scorer: Scorer, *, least: int = 80, cache: DataFrame | None = None) -> DataFrame:
+    """Spans read from pages whose own text is shorter than ``least``: a reader gives the text of a page image, one span for each non-blank line.
+
+    ``pages``: doc_id, page, text, source_path and what the reader needs. Spans cover the whole page (612 x 792).
+    """
+    from parallax.functions.text import strip
+
+    low = pages.where(F.length(strip(F.coalesce("text", F.lit("")))) < least).withColumn("key", F.sha2(F.concat_ws("|", "doc_id", F.col("page").cast("string")), 256))
+    read = run_scorer(low, scorer, "key string, answer string", key="key", cache=cache)
+    lines = low.select("key", "doc_id", "page", "source_path").join(read, "key").select("doc_id", "page", "source_path", F.posexplode(F.split(F.coalesce("answer", F.lit("")), r"\r\n|[\n\r]")).alias("i", "line"))
+    box = F.struct(*[F.lit(v).alias(k) for k, v in (("x0", 0.0), ("y0", 0.0), ("x1", 612.0), ("y1", 792.0))])
+    return lines.where(strip("line") != "").select("doc_id", "page", box.alias("bbox"), strip("line").alias("text"), "source_path", (F.col("page").cast("bigint") * 1_000_000 + F.col("i")).alias("ord"))
+
+
+def entity_lane(pages: DataFrame, scorer: Scorer, *, cache: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, label, kind, y_top, y_bottom, ord): equipment ranges that a detector finds on pages with text; stop labels and inverted ranges go."""
+    schema = "struct<entities: array<struct<label: string, kind: string, y_top: double, y_bottom: double>>>"
+    keyed = pages.where(F.trim("text") != "").withColumn("key", F.sha2(F.concat_ws("|", "doc_id", F.col("page").cast("string"), "text"), 256))
+    answers = run_scorer(keyed.select("key", "doc_id", "page", "text"), scorer, "key string, answer string", key="key", cache=cache)
+    found = keyed.select("key", "doc_id", "page").join(answers, "key").select("doc_id", "page", F.posexplode(parse_payload(F.col("answer"), schema)["entities"]).alias("ord", "e"))
+    return usable_entities(found.select("doc_id", "page", "e.*", "ord").where((F.col("y_top") >= 0) & (F.col("y_bottom") >= 0)))
+
+
+def class_lane(pages: DataFrame, scorer: Scorer, *, least: float = 0.6, cache: DataFrame | None = None) -> DataFrame:
+    """(doc_id, doc_class, confidence, reasoning) from the sampled pages of each document; weak answers are ``unknown``."""
+    from parallax.operators.scan import sample_pages
+
+    schema = "struct<doc_class: string, confidence: double, reasoning: string>"
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n")
+    docs = sample_pages(pages).groupBy("doc_id").agg(text.alias("text")).withColumn("key", F.sha2(F.concat_ws("|", "doc_id", "text"), 256))
+    answers = docs.join(run_scorer(docs, scorer, "key string, answer string", key="key", cache=cache), "key", "left").select("doc_id", parse_payload(F.col("answer"), schema).alias("a"))
+    sure = within(F.col("a.confidence"), 0, 1)
+    return document_class(answers.select("doc_id", F.when(sure, F.col("a.doc_class")).otherwise("unknown").alias("doc_class"), F.when(sure, F.col("a.confidence")).otherwise(0.0).alias("confidence"), F.coalesce("a.reasoning", F.lit("")).alias("reasoning")), least)
+
+
+def judge_flags(flags: DataFrame, clauses: DataFrame, scorer: Scorer, *, key: str = "flag_id", cache: DataFrame | None = None) -> DataFrame:
+    """Flags with the judgments that a scorer gives; a flag without a valid judgment stays as it is.
+
+    The scorer sees the flag and the ids of the clauses that apply to its family.
+    """
+    schema = "struct<severity: string, within_typical_tolerance: boolean, engineering_explanation: string, downstream_effects: array<string>, confidence: double, cited_clause_ids: array<string>>"
+    open_ = clauses.select("clause_id", F.explode("applicable_families").alias("attribute_family")).groupBy("attribute_family").agg(F.sort_array(F.collect_set("clause_id")).alias("clause_ids"))
+    asked = flags.select(F.col(key).alias("key"), "parameter", F.col("a_record.raw_value").alias("a_raw"), F.col("b_record.raw_value").alias("b_raw"), "severity", "deviation_pct", "attribute_family").join(open_, "attribute_family", "left")
+    answers = run_scorer(asked, scorer, "key string, answer string", key="key", cache=cache)
+    judged = answers.select(F.col("key").alias(key), parse_payload(F.col("answer"), schema).alias("j")).select(key, "j.*")
+    valid = judged.where(within(F.col("confidence"), 0, 1) & F.col("severity").isin("critical", "major", "minor", "info"))
+    return apply_judgments(flags, valid, clauses, key)
+
+
 #: Labels that name no equipment.
 STOP_LABELS = ("IEEE", "IEC", "NEMA", "ANSI", "UL", "NFPA", "Example", "Figure", "Note", "Table", "See")
 

@@ -172,3 +172,44 @@ def test_semantic(spark, page_only):
     assert len(got) == 1 and not got[0].value_equivalent and got[0].name_match_confidence > 0.99
     flags = review(a, b, ReviewConfig(same_page_only=page_only))["flags"].collect()
     assert [(r.severity, round(r.deviation_pct, 2)) for r in flags] == [("minor", 9.09)]
+
+
+def test_page_lanes(spark):
+    pages = spark.createDataFrame([("d", 1, "x" * 100, ""), ("d", 2, "", ""), ("d", 3, "y" * 100, ""), ("d", 4, "z" * 100, "")], "doc_id string, page int, text string, source_path string")
+    answer = lambda value: lambda b: pd.DataFrame({"key": b["key"], "answer": [value] * len(b)})
+    assert [(r.page, r.text, r.bbox.x1) for r in judge.ocr_lane(pages, answer("one\n\n two")).orderBy("ord").collect()] == [(2, "one", 612.0), (2, "two", 612.0)]
+    found = judge.entity_lane(pages, answer('{"entities": [{"label": "XFMR-1", "kind": "t", "y_top": 1, "y_bottom": 9}, {"label": "Note", "kind": "", "y_top": 1, "y_bottom": 9}, {"label": "X", "kind": "", "y_top": 9, "y_bottom": 1}]}'))
+    assert {(r.page, r.label) for r in found.collect()} == {(1, "XFMR-1"), (3, "XFMR-1"), (4, "XFMR-1")}
+    seen = []
+
+    def classify(b):
+        seen.extend(b["text"])
+        return pd.DataFrame({"key": b["key"], "answer": ['{"doc_class": "equipment_spec", "confidence": 0.5, "reasoning": "r"}'] * len(b)})
+
+    assert [(r.doc_class, r.reasoning[:2]) for r in judge.class_lane(pages, classify).collect()] == [("unknown", "r ")]
+    assert [r.doc_class for r in judge.class_lane(pages, answer("nothing")).collect()] == ["unknown"]
+    flags = detect.with_flag_id(detect.detect_flags(align.align_exact(records(spark, "A", A, "a"), records(spark, "B", B, "b")), detect.band_table(spark)))
+    clauses = spark.createDataFrame([("c1", 2015, "S", ["impedance_pct"], "t")], "clause_id string, edition_year int, source_name string, applicable_families array<string>, summary string")
+    verdict = '{"severity": "minor", "engineering_explanation": "because", "confidence": 0.5, "cited_clause_ids": ["c1", "c9"]}'
+    done = judge.judge_flags(flags, clauses, answer(verdict)).collect()
+    assert {r.severity for r in done} == {"minor"} and all([c.clause_id for c in r.cited_clauses] == ["c1"] for r in done)
+    assert {r.severity for r in judge.judge_flags(flags, clauses, answer("no")).collect()} == {r.severity for r in flags.collect()}
+
+
+def test_gold_and_counts(spark):
+    from parallax.operators import evaluate
+
+    flags = detect.with_flag_id(detect.detect_flags(align.align_exact(records(spark, "A", A, "a"), records(spark, "B", B, "b")), detect.band_table(spark)))
+    gold = spark.createDataFrame([("p", "TP-1", "surfaced", "impedance", "5.75", "0.575"), ("p", "TP-2", "surfaced", "fault", "20,000", "200,000"), ("p", "FN", "surfaced", "nothing", "", ""), ("p", "FP-1", "suppressed", "rating", "150 kva", "0.15 mva")], "pair_id string, gold_id string, expected string, parameter_substr string, a_value_substr string, b_value_substr string")
+    scored = evaluate.score_gold(flags, gold)
+    assert {(r.gold_id, r.outcome) for r in scored.collect()} == {("TP-1", "tp"), ("TP-2", "tp"), ("FN", "fn"), ("FP-1", "tn")}
+    r = evaluate.recall_and_traps(scored).first()
+    assert abs(r.recall - 2 / 3) < 1e-9 and r.trap_rate == 0
+    spots = spark.createDataFrame([("p", 3, "x", "5.75%z,liquid", "")], "pair_id string, page int, gold_id string, gold_a string, gold_b string")
+    assert evaluate.matches_span_gold(flags, spots).count() == 1
+    assert evaluate.recall_and_traps(scored.where("false")).first().recall == 0
+    high, low = detect.split_by_confidence(flags, 0.8, ["regex"])
+    assert high.count() + low.count() == flags.count() and detect.near_misses(flags).count() == 0
+    assert detect.display_view(flags).where("severity_chip = 'CRITICAL'").count() >= 2
+    assert [r.severity for r in detect.sort_flags(flags).collect()][0] == "critical"
+    assert evaluate.unpaired_tally(records(spark, "A", A, "a")).first().records >= 1
