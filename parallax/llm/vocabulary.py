@@ -31,9 +31,12 @@ def name_tokens(c: Column, noise: Sequence[str] = NOISE_WORDS) -> Column:
     """Lower-case tokens; brackets, what follows an at sign, and noise words are left out."""
     s = F.regexp_replace(strip(c), r"\([^)]*\)|\[[^\]]*\]", " ")
     s = F.regexp_replace(s, r"@.*$", " ")
-    s = F.regexp_replace(s, r"(?<=[\p{Ll}0-9.])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})", " ")
+    s = F.regexp_replace(s, r"(?<=\p{L}[\p{Ll}0-9.])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})", " ")
     words = F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}%]+"), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~w.isin(list(noise)))
+    kept = words
+    if noise:  # also as a scanner reads them, or stuck to the last word
+        stuck = r"(?<=\p{L}{4})(?:" + "|".join(w for w in noise if len(w) > 4 and " " not in w) + ")$"
+        kept = F.filter(F.transform(words, lambda w: F.regexp_replace(w, stuck, "")), lambda w: ~F.translate(w, "01", "ol").isin(list(noise)))
     return F.when(F.size(kept) > 0, kept).otherwise(words)
 
 
@@ -58,21 +61,21 @@ def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     d = _distance(F.col("token"), F.col("word"))
     close = (
         edit_t.join(edit_w, "v").select("token", "word").distinct().withColumn("d", d)
-        .where((F.col("d") <= 1) | ((F.col("d") <= 2) & (longest >= 6)) | ((F.col("d") <= 3) & (longest >= 11)))
+        .where((F.col("d") <= 1) | ((F.col("d") <= 2) & (longest >= 6)) | ((F.col("d") <= 3) & (longest >= 7)))
         .select("token", "word", (1 - F.col("d") / longest).alias("sim"))
     )
     folds = [("0", "o"), ("1", "l"), ("1", "i"), ("5", "s")]
     read = F.array_distinct(F.array(F.col("token"), *[F.translate("token", a, b) for a, b in folds], *[F.translate("token", "01", f"o{x}") for x in "li"]))
     same = tokens.select("token", F.explode(read).alias("word")).join(vocabulary, "word").select("token", "word", F.when(F.col("token") == F.col("word"), 1.0).otherwise(0.98).alias("sim"))
     heads = vocabulary.where("length(word) >= 4").select("word", F.explode(F.transform(F.sequence(F.lit(3), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("token"))
-    short = tokens.where("length(token) >= 3").join(heads, "token").select("token", "word", F.lit(0.9).alias("sim"))
+    short = tokens.where("length(token) >= 3").withColumn("head", F.translate("token", "01", "ol")).join(heads.withColumnRenamed("token", "head"), "head").select("token", "word", F.lit(0.9).alias("sim"))
     # An abbreviation without vowels: the consonants of the word, one of them possibly lost.
     bones = vocabulary.where("length(word) >= 5").withColumn("b", F.concat(F.substring("word", 1, 1), F.regexp_replace(F.expr("substring(word, 2)"), "[aeiou]", ""))).where("length(b) >= 3")
     boned = tokens.where("length(token) >= 3 and not substring(token, 2) rlike '[aeiou]'").join(bones.select("word", F.explode(_deletions(F.col("b"))).alias("token")), "token").select("token", "word", F.lit(0.85).alias("sim"))
     return close.unionByName(same).unionByName(short).unionByName(boned).groupBy("token", "word").agg(F.max("sim").alias("sim"))
 
 
-def map_values(values: DataFrame, reference: DataFrame, *, least: float = 0.72, margin: float = 0.01) -> DataFrame:
+def map_values(values: DataFrame, reference: DataFrame, *, least: float = 0.62, margin: float = 0.01) -> DataFrame:
     """(name, entry, score) for the distinct names in ``values`` (column name); entry 0 where none is meant.
 
     ``reference`` has (entry int, name string, aliases array<string>).
