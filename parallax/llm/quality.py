@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,6 +75,7 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: Column | st
     )
 
 
+_ANY_COMMON = frozenset().union(*COMMON.values())
 _SENTENCE = re.compile(r"[^\W\d_][^.!?]{25,}[.!?]")
 _BULLET = re.compile(r"^\s*(?:[-–—•*·▪◦o]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)])\s+")
 _CITATION = re.compile(r"^\(?\d{4}\)?\s+\d+\s+[A-Z]{2,}\s+\d+")
@@ -82,16 +84,23 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SHAPE = re.compile(r"(?=.*[aeiouyäöüàâéèêëîïôûùáíóúœ])(?!.*[^aeiouyäöüàâéèêëîïôûùáíóúœ]{6})(?:[a-zà-ÿ]+|[A-ZÀ-Þ][a-zà-ÿß]+|[A-ZÀ-Þ]+)$", re.I)
 
 
+@lru_cache(200_000)
+def _shaped(word: str) -> bool:
+    """Whether a run of letters looks like a word: one case pattern, a vowel, no heap of consonants."""
+    if word in {"a", "o", "v", "y", "e"}:
+        return True
+    return 1 < len(word) < 20 and (word.islower() or word.istitle() or word.isupper()) and bool(_SHAPE.match(word))
+
+
 def weak_label(text: str | None) -> str | None:
     """prose, list, table or junk where the lines of a text show signs of just one; else None."""
     lines = [x for x in re.split(r"[\r\n]+", text or "") if x.strip()]
     if not lines:
         return None
     flat = " ".join(x.strip() for x in lines)
-    common = set().union(*COMMON.values())
-    sentences = sum(len(m[0]) for m in _SENTENCE.finditer(flat) if sum(w.lower() in common for w in _WORD.findall(m[0])) >= 3)
+    sentences = sum(len(m[0]) for m in _SENTENCE.finditer(flat) if sum(map(_ANY_COMMON.__contains__, m[0].lower().split())) >= 3)
     words = _WORD.findall(flat)
-    shaped = sum(len(w) for w in words if (1 < len(w) < 20 and (w.islower() or w.istitle() or w.isupper()) and _SHAPE.match(w)) or w in {"a", "o", "v", "y", "e"})
+    shaped = sum(len(w) for w in words if _shaped(w))
     readable = shaped / max(1, len(re.sub(r"\s", "", flat)))
     if len(words) >= 12 and len({w.lower() for w in words}) <= 3 and not re.search(r"\d", flat):
         return "junk"  # one thing over and over
@@ -160,7 +169,7 @@ def induce_rules(x: pd.DataFrame, labels: np.ndarray, *, order: Sequence[str] =
     """An ordered rule list by incremental reduced-error pruning; rows that no rule covers are prose."""
     rng, rules = np.random.default_rng(seed), []
     left = np.ones(len(labels), bool)
-    for kind in sorted(order, key=lambda k: (labels == k).sum()):
+    for kind in order:
         while (left & (labels == kind)).sum() >= 3:
             rows = np.flatnonzero(left)
             y = labels[rows] == kind

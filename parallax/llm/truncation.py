@@ -61,10 +61,14 @@ def length_limits(values: DataFrame, *, least: int = 5, factor: float = 5.0, bey
 
 
 def _pair(value: Column) -> tuple[Column, Column]:
-    """The word before the last and the last piece of a value; the first is '' in a value of one word."""
+    """The word before the last and the last piece of a value; the first is '' in a value of one word, # for all words with a digit."""
     words = F.split(value, r"\s+")
     before = F.when(F.size(words) > 1, F.element_at(words, -2)).otherwise("")
-    return F.regexp_replace(before, r"[.,;:!?]+$", ""), F.element_at(words, -1)
+    return _bare(before), F.element_at(words, -1)
+
+
+def _bare(word: Column) -> Column:
+    return F.when(word.rlike("[0-9]"), "#").otherwise(F.regexp_replace(word, r"[.,;:!?]+$", ""))
 
 
 def cut_values(df: DataFrame, key: str, source: Column, fields: Sequence[str], *, anchor: str | None = None, support: int = 3, closing: float = 0.02) -> DataFrame:
@@ -84,7 +88,7 @@ def cut_values(df: DataFrame, key: str, source: Column, fields: Sequence[str], *
     )
     # Word pairs of the whole corpus: how often w follows p inside a text, and how often it closes a sentence there.
     words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(F.when(i > 0, F.regexp_replace(F.get("w", i - 1), r"[.,;:!?]+$", "")).otherwise("").alias("p"), F.get("w", i).alias("t"), (i == F.size("w") - 1).alias("last")))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(F.when(i > 0, _bare(F.get("w", i - 1))).otherwise("").alias("p"), F.get("w", i).alias("t"), (i == F.size("w") - 1).alias("last")))
     stats = (
         values.select(words.alias("w")).where("size(w) > 0").select(F.explode(pairs).alias("x")).select("x.*").where("not t rlike '[0-9]'")
         .withColumn("closes", F.col("t").rlike(r"[.;!?]$") & ~F.col("t").rlike(MARKS)).where("closes or not last").withColumn("t", F.regexp_replace("t", r"[.,;:!?]+$", ""))
