@@ -96,34 +96,38 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _units_sql() -> str:
-    """The same reading of quantities, with the patterns freed of look-around."""
+def quantity_sql(columns: str, raw_only: bool = False) -> str:
+    """CTEs up to ``quantity``: distinct ``columns`` of claim with the quantity read (common, stated), by the same patterns freed of look-around."""
     number, unit = NUMBER.replace(r"(?!\d)", ""), unit_pattern().replace("(?iu:", "(?i:")
     gap, end = r"[ \t\x{a0}\x{202f}\x{2009}]*", r"(?:$|[\s\x{a0}\x{202f}\x{2009}(),;:/\]|]|\.(?:\s|$))"
     lead = r"^(?:approx\.?|≈|~|[ \t\x{a0}])*"
     rows = lambda t: ", ".join(f"({_quoted(s)}, {_quoted(u.common)}, {u.factor!r}::double, {u.offset!r}::double)" for s, u in t.items())
-    blanks = "chr(32)||chr(9)||chr(10)||chr(13)||chr(160)"
+    own = f"nullif(regexp_extract(raw_value, {_quoted(f'{lead}{number}{gap}({unit}){end}')}, 1), '')"
+    around = f"""nullif(regexp_extract(case when contains(span_text, trim(raw_value)) then list_last(string_split(span_text, trim(raw_value))) end, {_quoted(f"^{gap}({unit}){end}")}, 1), ''),
+      nullif(regexp_extract(attribute, {_quoted(f"[(\\[]\\s*({unit})\\s*[)\\]]\\s*$")}, 1), '')"""
     return f"""
 with exact(s, common, factor, off) as (values {rows(unit_table())}),
 folded(s, common, factor, off) as (values {rows(unit_table() | folded_table())}),
 read as (
-  select distinct id, normalized_magnitude as m, trim(normalized_unit, {blanks}) as nu,
-    regexp_extract(raw_value, {_quoted(f"{lead}({number}){gap}(?:{unit}{end}|$|\\(|max|min|nominal)")}, 1) as num,
-    coalesce(nullif(regexp_extract(raw_value, {_quoted(f"{lead}{number}{gap}({unit}){end}")}, 1), ''),
-      nullif(regexp_extract(case when contains(span_text, trim(raw_value)) then list_last(string_split(span_text, trim(raw_value))) end, {_quoted(f"^{gap}({unit}){end}")}, 1), ''),
-      nullif(regexp_extract(attribute, {_quoted(f"[(\\[]\\s*({unit})\\s*[)\\]]\\s*$")}, 1), '')) as un
-  from claim),
+  select distinct {columns}, regexp_extract(raw_value, {_quoted(f"{lead}({number}){gap}(?:{unit}{end}|$|\\(|max|min|nominal)")}, 1) as num, {own if raw_only else f"coalesce({own}, {around})"} as un from claim),
 clean as (select *, regexp_replace(num, {_quoted("[\\s\\x{a0}\\x{202f}\\x{2009}'’]")}, '', 'g') as plain from read),
 value as (select *, try_cast(case when regexp_matches(num, {_quoted("^[+-]?" + _GROUPED.replace("(?!\\d)", "") + "(?:[eE]|$)")}) then replace(plain, ',', '') else replace(plain, ',', '.') end as double) as v from clean where num <> ''),
+quantity as (
+  select value.*, coalesce(e.common, f.common) as common, v * coalesce(e.factor, f.factor) + coalesce(e.off, f.off) as stated
+  from value left join exact e on e.s = un left join folded f on f.s = lower(un) where coalesce(e.common, f.common) is not null and v is not null)
+"""
+
+
+def _units_sql() -> str:
+    return quantity_sql(f"id, normalized_magnitude as m, trim(normalized_unit, {_BLANKS}) as nu") + """,
 both_read as (
-  select id, m, nu, coalesce(e.common, f.common) as common, v * coalesce(e.factor, f.factor) + coalesce(e.off, f.off) as stated,
-    coalesce(e2.common, f2.common) as common2, m * coalesce(e2.factor, f2.factor) + coalesce(e2.off, f2.off) as stored0
-  from value left join exact e on e.s = un left join folded f on f.s = lower(un) left join exact e2 on e2.s = nu left join folded f2 on f2.s = lower(nu)),
+  select q.*, coalesce(e2.common, f2.common) as common2, m * coalesce(e2.factor, f2.factor) + coalesce(e2.off, f2.off) as stored0
+  from quantity q left join exact e2 on e2.s = nu left join folded f2 on f2.s = lower(nu)),
 state as (
   select id as claim_id, common as common_unit, stated as magnitude, case when m is null or coalesce(nu, '') = '' then null else stored0 end as stored,
     case when m is null or coalesce(nu, '') = '' then 'missing' when common2 is null or common2 <> common then 'dimension'
       when abs(stored0 - stated) > 0.001 * greatest(abs(stored0), abs(stated)) then 'shifted' else 'same' end as state
-  from both_read where common is not null and stated is not null)
+  from both_read)
 """
 
 
