@@ -16,6 +16,7 @@ from parallax.llm.survivor import surviving_records
 from parallax.llm.tokens import encode_corpus
 from parallax.llm.truncation import cut_values, truncation_report
 from parallax.llm.vocabulary import map_values, name_tokens
+from parallax.queries.problems import quantity_sql
 from parallax.session import table
 
 #: Folder of the public tokenizers; a parameter, nothing is copied.
@@ -120,4 +121,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p10_found": p10_found, "p10_statistics": p10_statistics, "p6_found": p6_found, "p6_names": p6_names, "p3_found": p3_found, "p3_report": p3_report, "p8_ids": p8_ids, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+
+_FULL = "coalesce(lower(trim({0}, chr(32)||chr(9)||chr(10)||chr(13)||chr(160))), '') not in ('', 'n/a', '-', 'see above')"
+_BEST = "coalesce(arg_max(id, (coalesce(trust, -1), created_at)) filter ({0}), '') as {1}_from"
+SQL: dict[str, str] = {
+    "p4_found": quantity_sql("id, entity_id, doc_id, page, attribute, section, span_text, extraction_version, created_at", raw_only=True) + f""",
+r as (
+  select id, lower(trim(entity_id, chr(32)||chr(9)||chr(10)||chr(13)||chr(160))) as e, doc_id, page, lower(trim(regexp_replace(attribute, '\\s+', ' ', 'g'))) as a, common, stated, trust, created_at,
+    {_FULL.format('span_text')} as span_ok, {_FULL.format('section')} as section_ok
+  from quantity left join (select lower(extraction_version) as ver, max(trust) as trust from extractor group by 1) x on ver = lower(trim(extraction_version))),
+s as (select *, case when abs(stated) <= lag(abs(stated)) over w * 1.001 then 0 else 1 end as opens from r window w as (partition by e, doc_id, page, a, common, sign(stated) order by abs(stated), id)),
+g as (select *, sum(opens) over (partition by e, doc_id, page, a, common, sign(stated) order by abs(stated), id) as k from s)
+select min(id) as group_id, {_BEST.format('true', 'raw_value')}, {_BEST.format('span_ok', 'span_text')}, {_BEST.format('section_ok', 'section')}
+from g group by e, doc_id, page, a, common, sign(stated), k having count(distinct id) > 1""",
+}
