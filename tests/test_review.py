@@ -213,3 +213,20 @@ def test_gold_and_counts(spark):
     assert detect.display_view(flags).where("severity_chip = 'CRITICAL'").count() >= 2
     assert [r.severity for r in detect.sort_flags(flags).collect()][0] == "critical"
     assert evaluate.unpaired_tally(records(spark, "A", A, "a")).first().records >= 1
+
+
+def test_ingest_and_lanes(spark):
+    from parallax.plans.ingest import Lanes, all_lanes, ingest
+
+    s = spans(spark, "d", [(1, 10, "5.75%Z and so on " + "word " * 20), (3, 10, "XFMR-1"), (3, 20, "CB-2"), (3, 30, "Bus")])
+    pages = spark.createDataFrame([("d", p, "") for p in (1, 2, 3)], "doc_id string, page int, source_path string")
+    answer = lambda value: lambda b: pd.DataFrame({"key": b["key"], "answer": [value] * len(b)})
+    out = ingest(s, pages)
+    assert {r.page for r in out["low_coverage"].collect()} == {2, 3} and out["spans"].count() == 4
+    lanes = Lanes(reader=answer("13.8KV\nread"), vision=answer('{"claims": [{"entity_kind": "t", "entity_id": "XFMR-1", "parameter_name": "Rating", "raw_value": "5 kVA", "visual_evidence": "v"}, {"entity_kind": "t", "entity_id": "XFMR-77", "parameter_name": "Rating", "raw_value": "9 kVA", "visual_evidence": "v"}]}'))
+    out = ingest(s, pages, lanes)
+    assert out["spans"].where("page = 2").count() == 2
+    got = {(r.extraction_lane, r.name, r.raw_value, r.entity_tag) for r in all_lanes(out["spans"], out["pages"], "p", "a", lanes).collect()}
+    assert ("regex", "Transformer Impedance", "5.75 %", "") in got and ("regex", "System Voltage", "13.8 kV", "") in got
+    assert {g[1:] for g in got if g[0] == "vision"} == {("Rating", "5 kVA", "XFMR-1")}
+    assert ingest(s, pages, Lanes(most_pages=1))["spans"].count() == 1
