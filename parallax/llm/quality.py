@@ -40,6 +40,8 @@ FEATURES = (
     "n_words", "mean_word_length", "letter_share", "digit_share", "symbol_share", "common_share", "n_lines", "words_per_line", "line_end_share", "bullet_share",
     "cells_per_line", "numeric_cell_share", "distinct_share",
 )
+#: What rules may use: the statistics that are cheap to compute over a whole corpus.
+RULE_FEATURES = tuple(f for f in FEATURES if f not in ("symbol_share", "bullet_share", "distinct_share", "digit_share", "n_words", "n_lines"))
 KINDS = ("table", "list", "junk")
 
 
@@ -57,10 +59,13 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: Column | st
     common = F.when(F.col("g") == "en", within("en")).when(F.col("g") == "de", within("de")).when(F.col("g") == "fr", within("fr")).when(F.col("g") == "es", within("es"))
     count = lambda pattern: F.regexp_count("t", F.lit(pattern))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    visible = F.col("t")
+    for blank in (" ", "\n", "\r", "\t", "\xa0", "\ufeff"):  # plain replacement is much faster than counting matches
+        visible = F.replace(visible, F.lit(blank), F.lit(""))
     edges = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0) + F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
     rows = rows.select(
         "__key", (F.size("words") - edges).alias("n_words"), F.length(F.array_join("words", "")).alias("letters"),
-        F.coalesce(common, F.greatest(*[within(g) for g in COMMON])).alias("common"), (F.length("t") - count(r"[\s\xa0\ufeff]")).alias("seen"),
+        F.coalesce(common, F.greatest(*[within(g) for g in COMMON])).alias("common"), F.length(visible).alias("seen"), F.col("t").rlike(r"[^\s\xa0\ufeff]").alias("readable"),
         count(r"(?m)^[^\S\r\n]*[^\s\xa0]").alias("n_lines"), count(r"\d").alias("digits"), count(r"""[^\p{L}\p{N}\s\xa0.,;:'"()?!/§–—“”„‘’«»\-]""").alias("symbols"),
         count(r"[.!?;:,…][\"')\]»”’]*[ \t\xa0]*(?:[\r\n]|\z)").alias("ends"),
         count(r"(?m)^[ \t]*(?:[-–—•*·▪◦o]|\(?[0-9]{1,4}[.)]|\(?[a-zA-Z][.)])[ \t]+\S").alias("bullets"),
@@ -71,7 +76,7 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: Column | st
         F.col("__key").alias(key), "n_words", share("letters", "n_words").alias("mean_word_length"), share("letters", "seen").alias("letter_share"), share("digits", "seen").alias("digit_share"),
         share("symbols", "seen").alias("symbol_share"), share("common", "n_words").alias("common_share"), "n_lines", share("n_words", "n_lines").alias("words_per_line"),
         share("ends", "n_lines").alias("line_end_share"), share("bullets", "n_lines").alias("bullet_share"), share("cells", "n_lines").alias("cells_per_line"),
-        share("numeric", "cells").alias("numeric_cell_share"), F.least(F.lit(1.0), share("distinct", "n_words")).alias("distinct_share"), (F.col("seen") > 0).alias("readable"),
+        share("numeric", "cells").alias("numeric_cell_share"), F.least(F.lit(1.0), share("distinct", "n_words")).alias("distinct_share"), "readable",
     )
 
 
@@ -165,7 +170,7 @@ def _grow(x: pd.DataFrame, y: np.ndarray, features: Sequence[str]) -> list[tuple
     return rule
 
 
-def induce_rules(x: pd.DataFrame, labels: np.ndarray, *, order: Sequence[str] = KINDS, features: Sequence[str] = FEATURES, most_errors: float = 0.25, seed: int = 7) -> list[Rule]:
+def induce_rules(x: pd.DataFrame, labels: np.ndarray, *, order: Sequence[str] = KINDS, features: Sequence[str] = RULE_FEATURES, most_errors: float = 0.25, seed: int = 7) -> list[Rule]:
     """An ordered rule list by incremental reduced-error pruning; rows that no rule covers are prose."""
     rng, rules = np.random.default_rng(seed), []
     left = np.ones(len(labels), bool)
@@ -199,7 +204,7 @@ def rules_sql(rules: Sequence[Rule]) -> str:
     return f"case {' '.join(when)} else 'prose' end" if when else "'prose'"
 
 
-def labelled_sample(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, sample: int = 6000) -> pd.DataFrame:
+def labelled_sample(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, sample: int = 12_000) -> pd.DataFrame:
     """The statistics and labels of about ``sample`` documents, drawn by a hash of their key."""
     total = max(1, documents.count())
     share = min(1.0, sample / total)
@@ -211,7 +216,7 @@ def labelled_sample(documents: DataFrame, key: str = "doc_id", text: str = "text
     return text_statistics(rows, "__key", "__text", "__lang").where("readable and __key.label is not null").select("__key.*", *FEATURES).dropDuplicates(["__id"]).drop("__id").toPandas()
 
 
-def document_kinds(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, sample: int = 6000, rules: Sequence[Rule] | None = None) -> DataFrame:
+def document_kinds(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, sample: int = 12_000, rules: Sequence[Rule] | None = None) -> DataFrame:
     """(key, kind): prose, list, table or junk for every document with visible text."""
     if rules is None:
         rows = labelled_sample(documents, key, text, lang, sample=sample)
