@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallax.functions.text import is_blank, strip
+from parallax.session import checkpoint
 
 #: Words and marks that typists add behind a name and that name nothing.
 NOISE_WORDS = ("value", "values", "nom", "nominal value", "site")
@@ -80,7 +81,7 @@ def map_values(values: DataFrame, reference: DataFrame, *, least: float = 0.62,
 
     ``reference`` has (entry int, name string, aliases array<string>).
     """
-    names = values.select("name").where(~is_blank("name")).distinct().withColumn("tokens", name_tokens(F.col("name")))
+    names = checkpoint(values.select("name").where(~is_blank("name")).distinct().withColumn("tokens", name_tokens(F.col("name"))))
     forms = (
         reference.select("entry", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where(~is_blank("form"))
         .distinct().withColumn("tokens", name_tokens(F.col("form"), ()))
@@ -91,11 +92,12 @@ def map_values(values: DataFrame, reference: DataFrame, *, least: float = 0.62,
     weighed = form_tokens.join(idf, "word")
     norms = weighed.groupBy("entry", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("form_norm"))
     name_rows = names.select("name", F.explode("tokens").alias("token")).distinct()
-    matches = repair_tokens(name_rows.select("token").distinct(), idf.select("word")).join(idf, "word")
+    # Read three times below; checkpoints also keep the plan small.
+    matches = checkpoint(repair_tokens(name_rows.select("token").distinct(), idf.select("word")).join(idf, "word"))
     best = matches.groupBy("token").agg(F.max_by("w", F.struct("sim", "w")).alias("tw"))
     # A token that resembles nothing weighs as much as the rarest one.
     rarest = total.select(F.log(1 + F.col("total")).alias("rare"))
-    own = name_rows.join(best, "token", "left").join(F.broadcast(rarest)).select("name", "token", F.coalesce("tw", "rare").alias("tw"))
+    own = checkpoint(name_rows.join(best, "token", "left").join(F.broadcast(rarest)).select("name", "token", F.coalesce("tw", "rare").alias("tw")))
     name_norms = own.groupBy("name").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("name_norm"))
     shared = (
         own.join(matches.select("token", "word", "sim"), "token").join(weighed.select("entry", "form", "word", "w"), "word")
