@@ -116,7 +116,7 @@ class Automaton:
                     key = before << 20 | token
                     allowed = arcs.get(key)
                     if allowed is None:
-                        if len(arcs) > 4_000_000:
+                        if len(arcs) > 1_000_000:
                             arcs.clear()
                         allowed = arcs[key] = self.arc_at(before, token, FOREVER)
                     if allowed:
@@ -134,7 +134,7 @@ class Automaton:
 class _Words(dict):
     """Finished words; a miss is encoded. Emptied at a bound, so memory is bounded."""
 
-    def __init__(self, automaton: Automaton, bound: int = 1_000_000):
+    def __init__(self, automaton: Automaton, bound: int = 300_000):
         super().__init__()
         self.automaton, self.bound = automaton, bound
 
