@@ -230,3 +230,24 @@ def test_ingest_and_lanes(spark):
     assert ("regex", "Transformer Impedance", "5.75 %", "") in got and ("regex", "System Voltage", "13.8 kV", "") in got
     assert {g[1:] for g in got if g[0] == "vision"} == {("Rating", "5 kVA", "XFMR-1")}
     assert ingest(s, pages, Lanes(most_pages=1))["spans"].count() == 1
+
+
+def test_entity_gate_and_keys(spark):
+    from parallax.functions import scalars as S
+
+    pairs = spark.createDataFrame([("implicit_a", "implicit_b"), ("xfmr_1", "xfmr_1"), ("xfmr_1", "xfmr_2"), ("implicit_a", "xfmr_1")], "x string, y string")
+    assert sorted(map(tuple, align.same_entity_pairs(pairs, F.col("x"), F.col("y")).collect())) == [("implicit_a", "implicit_b"), ("xfmr_1", "xfmr_1")]
+    gated = review(records(spark, "A", [(1, 10, "XFMR-1 5.75%Z")], "a"), records(spark, "B", [(1, 10, "XFMR-2 0.575%Z")], "b"), ReviewConfig(claim_gate=True, threshold=2.0))
+    assert gated["flags"].count() == 0 and gated["unpaired_a"].count() == 1
+    keys = spark.createDataFrame([(1, "a"), (1, "b")], "n int, s string").select(S.cache_key("ns", "s", "n").alias("k"), S.cache_key("ns", "n", "s").alias("j")).collect()
+    assert all(r.k == r.j and r.k.startswith("ns:") for r in keys) and keys[0].k != keys[1].k
+    row = spark.range(1).select(judge.prompt_text("{a} against {b}", a=F.lit("1"), b=F.lit(None).cast("string")).alias("p"), S.families_agree(F.lit("x"), F.lit(None).cast("string")).alias("f")).first()
+    assert row.p == "1 against " and row.f
+
+
+def test_bound_entities(spark):
+    from parallax.plans.review import bind_entities
+
+    r = records(spark, "A", [(1, 10, "5.75%Z"), (1, 200, "13.8KV")], "a")
+    ranges = spark.createDataFrame([("A", 1, "XFMR-1", 0.0, 50.0, 0), ("A", 1, "page", 0.0, 100.0, 1)], "doc_id string, page int, label string, y_top double, y_bottom double, ord int")
+    assert {(x.name, x.entity_tag) for x in bind_entities(r, ranges).collect()} == {("Transformer Impedance", "XFMR-1"), ("System Voltage", "")}
