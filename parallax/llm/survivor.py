@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parallax.session import checkpoint
+
 
 def value_groups(rows: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-3) -> DataFrame:
     """(keys, sign, bin, chain): which bins of a key hold one value; ``rows`` has the columns sign and bin of ``value_bin``."""
@@ -78,6 +80,7 @@ def surviving_records(rows: DataFrame, keys: Sequence[str], *, id: str, value: s
     names = [f"__k{i}" for i in range(len(keys))]
     first = F.struct(F.negative("at"), "id")
     reduced = points.groupBy(*names, "sign", "bin", "usable", "trust").agg(F.min_by("id", first).alias("id"), F.max("at").alias("at"), F.min("id").alias("lowest"), F.max("id").alias("highest"), F.min("v").alias("v0"), F.max("v").alias("v1"))
+    reduced = checkpoint(reduced)  # read below for the chains and for the groups
     ends = reduced.select(*names, "sign", "bin", F.explode(F.array("v0", "v1")).alias("v"))
     chains = value_groups(ends, names, "v", tolerance)
     group = [*names, "sign", "chain"]

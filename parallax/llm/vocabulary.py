@@ -87,8 +87,8 @@ def map_values(values: DataFrame, reference: DataFrame, *, least: float = 0.62,
         .distinct().withColumn("tokens", name_tokens(F.col("form"), ()))
     )
     form_tokens = forms.select("entry", "form", F.explode(F.array_distinct("tokens")).alias("word"))
-    total = forms.agg(F.count(F.lit(1)).alias("total"))
-    idf = form_tokens.groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("word", F.log(1 + F.col("total") / F.col("df")).alias("w"))
+    total = forms.count()
+    idf = form_tokens.groupBy("word").agg(F.count(F.lit(1)).alias("df")).select("word", F.log(1 + total / F.col("df")).alias("w"))
     weighed = form_tokens.join(idf, "word")
     norms = weighed.groupBy("entry", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("form_norm"))
     name_rows = names.select("name", F.explode("tokens").alias("token")).distinct()
@@ -96,8 +96,7 @@ def map_values(values: DataFrame, reference: DataFrame, *, least: float = 0.62,
     matches = checkpoint(repair_tokens(name_rows.select("token").distinct(), idf.select("word")).join(idf, "word"))
     best = matches.groupBy("token").agg(F.max_by("w", F.struct("sim", "w")).alias("tw"))
     # A token that resembles nothing weighs as much as the rarest one.
-    rarest = total.select(F.log(1 + F.col("total")).alias("rare"))
-    own = checkpoint(name_rows.join(best, "token", "left").join(F.broadcast(rarest)).select("name", "token", F.coalesce("tw", "rare").alias("tw")))
+    own = checkpoint(name_rows.join(best, "token", "left").select("name", "token", F.coalesce("tw", F.log(F.lit(1.0 + total))).alias("tw")))
     name_norms = own.groupBy("name").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("name_norm"))
     shared = (
         own.join(matches.select("token", "word", "sim"), "token").join(weighed.select("entry", "form", "word", "w"), "word")
