@@ -38,10 +38,10 @@ COMMON = {
 
 FEATURES = (
     "n_words", "mean_word_length", "letter_share", "digit_share", "symbol_share", "common_share", "n_lines", "words_per_line", "line_end_share", "bullet_share",
-    "cells_per_line", "numeric_cell_share", "distinct_share",
+    "cells_per_line", "numeric_cell_share", "distinct_share", "chars_per_word",
 )
 #: What rules may use: the statistics that are cheap to compute over a whole corpus.
-RULE_FEATURES = tuple(f for f in FEATURES if f not in ("symbol_share", "bullet_share", "distinct_share", "digit_share", "n_words", "n_lines"))
+RULE_FEATURES = ("common_share", "words_per_line", "line_end_share", "cells_per_line", "numeric_cell_share", "chars_per_word")
 KINDS = ("table", "list", "junk")
 
 
@@ -54,7 +54,7 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: Column | st
     line or more); a bullet is a dash, dot, number or letter that opens a line.
     """
     rows = documents.select(F.col(key).alias("__key"), F.coalesce(col(text), F.lit("")).alias("t"), col(lang).alias("g"))
-    rows = rows.withColumn("words", F.split(F.lower("t"), r"[^\p{L}]+"))
+    rows = rows.withColumn("words", F.split(F.lower("t"), r"[^a-z\p{L}]+"))  # plain letters first: the class is tried in its order
     within = lambda g: F.size(F.filter("words", lambda w: w.isin(COMMON[g])))
     common = F.when(F.col("g") == "en", within("en")).when(F.col("g") == "de", within("de")).when(F.col("g") == "fr", within("fr")).when(F.col("g") == "es", within("es"))
     count = lambda pattern: F.regexp_count("t", F.lit(pattern))
@@ -69,14 +69,14 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: Column | st
         count(r"(?m)^[^\S\r\n]*[^\s\xa0]").alias("n_lines"), count(r"\d").alias("digits"), count(r"""[^\p{L}\p{N}\s\xa0.,;:'"()?!/§–—“”„‘’«»\-]""").alias("symbols"),
         count(r"[.!?;:,…][\"')\]»”’]*[ \t\xa0]*(?:[\r\n]|\z)").alias("ends"),
         count(r"(?m)^[ \t]*(?:[-–—•*·▪◦o]|\(?[0-9]{1,4}[.)]|\(?[a-zA-Z][.)])[ \t]+\S").alias("bullets"),
-        count(r"[|¦\t]|;(?=\S)|[ \xa0]{2,}(?=\S)").alias("cells"), F.size(F.array_distinct("words")).alias("distinct"), "t",
+        count(r"(?=[|¦\t; \xa0])(?:[|¦\t]|;(?=\S)|[ \xa0]{2,}(?=\S))").alias("cells"), F.length("t").alias("size"), F.size(F.array_distinct("words")).alias("distinct"), "t",
     )
-    rows = rows.withColumn("numeric", F.when((F.col("cells") > 0) & (F.col("cells") >= F.col("n_lines")), count(r"(?:[|¦\t]|;|[ \xa0]{2,})[ ]?[\d-]")).otherwise(0))
+    rows = rows.withColumn("numeric", F.when((F.col("cells") > 0) & (F.col("cells") >= F.col("n_lines")), count(r"(?=[|¦\t; \xa0])(?:[|¦\t]|;|[ \xa0]{2,})[ ]?[\d-]")).otherwise(0))
     return rows.select(
         F.col("__key").alias(key), "n_words", share("letters", "n_words").alias("mean_word_length"), share("letters", "seen").alias("letter_share"), share("digits", "seen").alias("digit_share"),
         share("symbols", "seen").alias("symbol_share"), share("common", "n_words").alias("common_share"), "n_lines", share("n_words", "n_lines").alias("words_per_line"),
         share("ends", "n_lines").alias("line_end_share"), share("bullets", "n_lines").alias("bullet_share"), share("cells", "n_lines").alias("cells_per_line"),
-        share("numeric", "cells").alias("numeric_cell_share"), F.least(F.lit(1.0), share("distinct", "n_words")).alias("distinct_share"), "readable",
+        share("numeric", "cells").alias("numeric_cell_share"), F.least(F.lit(1.0), share("distinct", "n_words")).alias("distinct_share"), share("size", "n_words").alias("chars_per_word"), "readable",
     )
 
 
