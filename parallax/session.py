@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +28,21 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by Python workers: by its path where they share it, and as an archive on a cluster. Once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_parallax_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    known = context.environment.get("PYTHONPATH", "")
+    if str(root) not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(p for p in (str(root), known) if p)
+    if not context.master.startswith("local"):
+        archive = Path(tempfile.mkdtemp(prefix="parallax-ship-")) / "parallax.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted((root / "parallax").rglob("*.py")):
+                z.write(p, p.relative_to(root))
+        context.addPyFile(str(archive))
+    context._parallax_shipped = True
