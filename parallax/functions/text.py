@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as a blank at the ends of a key or a name.
@@ -36,3 +36,14 @@ def fold(c: Column | str) -> Column:
 def is_blank(c: Column | str) -> Column:
     """Null, empty or made of blanks only."""
     return F.coalesce(strip(c) == "", F.lit(True))
+
+
+def settle(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with the values computed once per row, as columns that no filter reaches through.
+
+    A filter on an ordinary column is pushed below it with its whole expression, which is then evaluated again for
+    every reference; a generator in between stops that. Meant for expensive text expressions.
+    """
+    one = F.struct(*[v.alias(k) for k, v in values.items()])
+    rows = df.select(*[c for c in df.columns if c not in values], F.explode(F.array(one)).alias("__settled"))
+    return rows.select(*[c for c in df.columns if c not in values], *[F.col(f"__settled.{k}").alias(k) for k in values])
