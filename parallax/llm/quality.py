@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.functions.text import col
+from parallax.functions.text import col, settle
 
 #: Common words of each language (function words of two letters and more).
 COMMON = {
@@ -221,4 +221,5 @@ def document_kinds(documents: DataFrame, key: str = "doc_id", text: str = "text"
     if rules is None:
         rows = labelled_sample(documents, key, text, lang, sample=sample)
         rules = induce_rules(rows, rows["label"].to_numpy(object))
-    return text_statistics(documents, key, text, lang).where("readable").select(key, F.expr(rules_sql(rules)).alias("kind"))
+    rows = text_statistics(documents, key, text, lang).where("readable")
+    return settle(rows, kind=F.expr(rules_sql(rules))).select(key, "kind")
