@@ -19,7 +19,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.functions.text import clean, col, strip
+from parallax.functions.text import clean, col, settle, strip
 
 
 @dataclass(frozen=True)
@@ -155,7 +155,7 @@ def with_quantity(df: DataFrame, out: str, raw: str, span: str | None = None, na
     The unit is taken from ``raw``, else from ``span`` after the number, else from the end of ``name``.
     """
     number, unit = quantity_text(raw)
-    df = df.withColumn("__number", number).withColumn("__found", F.nullif(unit, F.lit("")))
+    df = settle(df, __number=number, __found=F.nullif(unit, F.lit("")))
     bare = F.col("__found").isNull() & (F.col("__number") != "")
     if span is not None:
         df = df.withColumn("__found", F.when(bare, F.nullif(unit_in_span(span, raw), F.lit(""))).otherwise(F.col("__found")))
