@@ -1,3 +1,4 @@
+import itertools
 import os
 import random
 import unicodedata
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parallax.llm.leaks import WuManber, leaked_items, normal_words
+from parallax.llm.leaks import WuManber, leaked_items, letters_of, worded
 from parallax.llm.quality import COMMON, document_kinds, induce_rules, labelled_sample, rules_sql, text_statistics, weak_label
 from parallax.llm.queries import QUERIES, SQL, TOKENIZERS
 from parallax.llm.tokens import compiled, encode_corpus
@@ -65,8 +66,9 @@ ITEM = "When the old lantern fell on the cart of Tagrik, the well-known driver c
 
 
 def test_words():
-    assert normal_words("The ﬁrst well-\nknown judg-\r\n  ment, No. 7!", {"judgment"}) == ["the", "first", "well", "known", "judgment", "no", "7"]
-    assert normal_words(None) == [] and normal_words("a​b ＡＢ²") == ["ab", "ab2"]
+    words, must, may = worded("The \ufb01rst well-\nknown judg-\r\n  ment, No. 7!")
+    assert words == ["the", "first", "wellknown", "judgment", "no", "7"] and may == {12, 21} and must == {0, 3, 8, 17, 25, 27, 28}
+    assert worded(None)[0] == [] and worded("a\u200bb \uff21\uff22\u00b2")[0] == ["ab", "ab2"] and letters_of("A\u200bb-\n\uff21_7!") == "aba7" and letters_of(None) == ""
 
 
 def leaks(spark, docs, items=((1, ITEM),), **more):
@@ -79,19 +81,38 @@ def test_leaks(spark):
     w = ITEM.split()
     docs = [(1, "x " + ITEM.upper() + " y"), (2, " ".join(w[3:18]).replace("the", "the,\n")), (3, " ".join(w[3:16])), (4, None), (5, ""), (6, " ".join(w[:9] + ["extra"] + w[9:17])), (7, "z " * 200_000 + ITEM), (8, unicodedata.normalize("NFKD", ITEM).replace("judgment", "judg-\nment").replace("fell", "ﬁll")), (1, "x " + ITEM.upper() + " y")]
     want = [(1, 1), (2, 1), (7, 1), (8, 1)]
-    assert leaks(spark, docs) == want and leaks(spark, docs, block_words=1) == want
+    assert leaks(spark, docs) == want and leaks(spark, docs, block_letters=100) == want
     assert leaks(spark, docs, [(1, ITEM), (2, ITEM), (3, None), (4, "too short")])[:2] == [(1, 1), (1, 2)]
     assert leaks(spark, []) == [] and leaks(spark, docs, []) == []
 
 
+def test_breaks_are_read_both_ways(spark):
+    """A broken word counts joined and as two, whatever the other tests hold and however tests are split into passes."""
+    item = "they would sign the lease again after the long winter of that year in town once more"
+    docs = [(1, "x " + item.replace("long", "be-\nlong")), (2, item.replace("winter", "win-\n  ter").replace("again", "a\u00ad\ngain")), (3, item.replace("after the", "after-\nthe"))]
+    joined = item.replace("long", "belong")
+    other = "nobody would belong to the board of a small harbour that had never once paid its men on time"
+    for more in ({}, {"block_letters": 60}):
+        assert leaks(spark, docs, [(1, item)], **more) == [(2, 1), (3, 1)]
+        assert leaks(spark, docs, [(1, joined), (2, other)], **more) == [(1, 1)]
+        assert leaks(spark, docs, [(1, item.replace("long", "be long")), (2, other)], **more) == [(1, 1)]
+
+
 def test_search_brute_force():
     rnd = random.Random(2)
-    for _ in range(200):
-        items = [(i, [rnd.choice("abc") for _ in range(rnd.randint(3, 12))]) for i in range(3)]
-        words = [rnd.choice("abcd") for _ in range(60)]
-        windows = {tuple(words[k : k + 5]) for k in range(56)}
+    for _ in range(300):
+        items = [(i, [rnd.choice(["a", "b", "ab", "ba"]) for _ in range(rnd.randint(3, 12))]) for i in range(3)]
+        words, gaps = [rnd.choice(["a", "b", "ab", "d"]) for _ in range(40)], [rnd.choice([" ", " ", ", ", "-\n"]) for _ in range(39)]
+        breaks = [k for k, g in enumerate(gaps) if g == "-\n"][:6]
+        gaps = [g if k in breaks or g != "-\n" else "; " for k, g in enumerate(gaps)]
+        windows = set()
+        for joins in itertools.product([False, True], repeat=len(breaks)):
+            glued = {k for k, j in zip(breaks, joins, strict=True) if j}
+            read = "".join(w + ("" if k in glued else " ") for k, w in enumerate(words)).split()
+            windows |= {tuple(read[k : k + 5]) for k in range(len(read) - 4)}
         want = {i for i, w in items if any(tuple(w[k : k + 5]) in windows for k in range(len(w) - 4))}
-        assert WuManber(items, 5).search(words) == want
+        text = "".join(w + g for w, g in zip(words, [*gaps, ""], strict=True))
+        assert WuManber([(i, " ".join(w)) for i, w in items], 5).search(text) == want
 
 
 PROSE = "The court finds that the appeal must be dismissed because the record does not support it. The parties shall bear their own costs, and the order of the court below is affirmed.\n"
