@@ -70,12 +70,12 @@ QUERIES = {"p7_found": p7_found, "p7_units": p7_units, "p7_shifts": p7_shifts, "
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)||chr(160)"
 _SPEND = f"""
 with one as (
-  select lower(trim(namespace, {_BLANKS})) as ns, cast(ts as date) as d, cast(round(coalesce(est_cost_usd, 0) / 1e-9) as bigint) as usd
+  select lower(trim(namespace, {_BLANKS})) as ns, cast(ts as date) as d, cast(coalesce(est_cost_usd, 0) as decimal(28, 9)) as usd
   from cost_event qualify row_number() over (partition by id order by loaded_at desc, ts desc, usd desc) = 1),
 daily as (select ns, d, sum(usd) as usd, count(*) as n from one where ns is not null and d is not null group by 1, 2),
 days as (select ns, cast(unnest(generate_series(min(d), max(d), interval 1 day)) as date) as d from daily group by 1),
 totals as (
-  select a.ns, a.d, cast(coalesce(sum(usd) filter (b.d > a.d - 7), 0) as double) * 1e-9::double as t7, cast(coalesce(sum(usd), 0) as double) * 1e-9::double as t30, coalesce(sum(n) filter (b.d > a.d - 7), 0) as n7, coalesce(sum(n), 0) as n30
+  select a.ns, a.d, cast(coalesce(sum(usd) filter (b.d > a.d - 7), 0) as double) as t7, cast(coalesce(sum(usd), 0) as double) as t30, coalesce(sum(n) filter (b.d > a.d - 7), 0) as n7, coalesce(sum(n), 0) as n30
   from days a left join daily b on a.ns = b.ns and b.d between a.d - 29 and a.d group by 1, 2)
 """
 

@@ -45,6 +45,13 @@ def test_trailing_defined_cases(spark):
     assert totals(spark, []) == {}
 
 
+def test_trailing_large_amounts(spark):
+    """No amount is too large to count; those beyond decimals are summed as floating numbers, infinite ones count as zero."""
+    got = totals(spark, [(1, at(0), 1e10, "a", at(0)), (2, at(0), 0.1, "a", at(0)), (3, at(1), 1e300, "a", at(0)), (4, at(2), float("inf"), "a", at(0)), (5, at(40), -2e10, "a", at(0))])
+    assert got["a", at(0).date()].total_7 == 1e10 + 0.1 and got["a", at(1).date()].total_7 == 1e300 and got["a", at(2).date()].total_7 == 1e300
+    assert got["a", at(40).date()].total_30 == -2e10
+
+
 def test_trailing_hot_entity_plan(spark):
     df = spark.range(50_000).select(F.col("id"), (F.lit(at(0)) + F.expr("make_dt_interval(cast(id % 300 as int))")).alias("ts"), F.lit(1.0).alias("est_cost_usd"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id") % 50)).alias("namespace"), F.lit(at(0)).alias("loaded_at"))
     out = trailing_totals(df, F.col("namespace"), "ts", "est_cost_usd", key="id", version="loaded_at")
