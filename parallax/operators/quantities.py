@@ -1,27 +1,29 @@
 """Quantities recorded in different units: common units, and unit changes in the history of a source.
 
 Every claim is read from its text into the common unit of its dimension. Where the source also
-stored a magnitude and a unit, the logarithm of stored over stated value is a series in time; each
-source history is segmented by an exact penalised changepoint search (squared error, optimal
-partitioning with pruning), and a segment whose level is not zero is a unit change; a level that
-equals the ratio of two units of the dimension names the factor to reverse.
-
-Scale: histories are range-partitioned by (source, time), so a hot source spreads over partitions
-and no group is collected; partitions are segmented as they stream, in blocks of ``block`` rows.
-A block border is a forced cut, which leaves levels as they are. Inside a block, equal neighbours
-are merged first: the optimum never cuts a run of equal values, because the cost is concave in
-the position of a cut inside the run, so the search stays exact.
+stored a magnitude and a unit, the logarithm of stored over stated value is a series in time, one for each
+source and dimension. Each series is segmented by an exact penalised changepoint search: its levels are zero and the
+logarithms of the known ratios of two units that occur; a row costs its squared distance from the level in noise widths,
+at most that of an outlier; every change of level costs a penalty of 2 log n (a place and a level, as in the Bayesian
+criterion, n of the longest series) and one outlier, so that no change rests on one row. A row on a segment's level other than zero belongs to a unit change, whose factor is reversed; a row off
+the level of its segment is a lone deviation. So a run of a few rows in another unit is a change, and a single wrong value is none.
+
+Scale: series are cut into slices of time, so that a slice of the longest has ``block`` rows on the average, and slices
+are spread by hash. Cuts are not forced changes: of every slice the least costs from each level before it to each
+level at its end are composed along the series (one small matrix a slice), and the slice is searched with what comes
+before and after it. Equal neighbours are merged first. Results do not depend on ``block``.
 
 Defined cases: null text or no number with a unit gives no quantity; a stored magnitude or unit
 that is null or blank is ``missing``; an unreadable stored unit or one of another dimension is
-``dimension``; a pair without a ratio (zero or unlike signs) is compared directly; empty input gives an
-empty result; rows keep their extra columns out of the result; repeated rows give repeated rows.
+``dimension``; a pair without a ratio (zero or unlike signs) is compared directly; rows without a time come first in
+their series; empty input gives an empty result; rows keep their extra columns out of the result; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,46 +34,62 @@ from parallax.functions.text import col, is_blank
 from parallax.functions.units import to_common, unit_table, with_quantity, with_stored_unit
 from parallax.session import checkpoint
 
-
-def changepoints(values: np.ndarray, penalty: float) -> np.ndarray:
-    """Starts of the segments that minimise squared error plus ``penalty`` per segment; exact.
-
-    Optimal partitioning over runs of equal values, with the usual pruning of candidates whose cost
-    without a penalty already exceeds the best.
-    """
-    n = len(values)
-    if n == 0:
-        return np.empty(0, np.int64)
-    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    count = np.diff(np.concatenate([start, [n]])).astype(float)
-    v = values[start].astype(float)
-    w, s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (count, count * v, count * v * v))
-    best = np.zeros(len(start) + 1)
-    best[0] = -penalty
-    before = np.zeros(len(start) + 1, np.int64)
-    candidates = np.array([0])
-    for t in range(1, len(start) + 1):
-        width = w[t] - w[candidates]
-        cost = best[candidates] + np.maximum(q[t] - q[candidates] - (s[t] - s[candidates]) ** 2 / width, 0.0)
-        k = int(np.argmin(cost))
-        best[t], before[t] = cost[k] + penalty, candidates[k]
-        candidates = np.append(candidates[cost <= best[t]], t)
-    cuts, t = [], len(start)
-    while t > 0:
-        t = int(before[t])
-        cuts.append(t)
-    return start[np.array(cuts[::-1])]
-
-
-def segment_levels(values: np.ndarray, penalty: float) -> np.ndarray:
-    """For every value the mean of its segment."""
-    cuts = changepoints(values, penalty)
-    if not len(cuts):
-        return np.empty(0)
-    lengths = np.diff(np.concatenate([cuts, [len(values)]]))
-    return np.repeat(np.add.reduceat(values, cuts) / lengths, lengths)
-
-
+#: The cost of an outlier: the tolerance is this many noise widths, squared.
+OUTLIER = 9.0
+
+
+def row_costs(values: np.ndarray, levels: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Run of every value, and the cost of each run at each level; values are read on a grid of a quarter noise width."""
+    width = math.log1p(tolerance) / math.sqrt(OUTLIER)
+    grid = np.round(values / (width / 4))
+    run = np.cumsum(np.concatenate([[0], grid[1:] != grid[:-1]])).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], grid[1:] != grid[:-1]]))
+    off = ((grid[start] * (width / 4))[:, None] - levels[None, :]) / width
+    return run, np.minimum(off * off, OUTLIER) * np.bincount(run)[:, None]
+
+
+def passage_costs(costs: np.ndarray, penalty: float) -> np.ndarray:
+    """Least cost from each level before the rows to each level at their end."""
+    k = costs.shape[1]
+    total = np.where(np.eye(k, dtype=bool), 0.0, np.inf)
+    for c in costs:
+        total = np.minimum(total, total.min(axis=1, keepdims=True) + penalty) + c
+    return total
+
+
+def best_levels(costs: np.ndarray, penalty: float, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The level of each run on the cheapest path, given the cost of each level before and after; exact (Viterbi)."""
+    n, k = costs.shape
+    back = np.empty((n, k), np.int16)
+    own, total = np.arange(k), before
+    for t in range(n):
+        j = int(np.argmin(total))
+        change = total > total[j] + penalty
+        back[t] = np.where(change, j, own)
+        total = np.where(change, total[j] + penalty, total) + costs[t]
+    path = np.empty(n, np.int64)
+    at = int(np.argmin(total + after))
+    for t in range(n - 1, -1, -1):
+        path[t] = at
+        at = int(back[t, at])
+    return path
+
+
+def slice_borders(passages: Sequence[np.ndarray], penalty: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each slice of a series in time order the cost of each level before it and after it; a series starts without a shift."""
+    k = passages[0].shape[0]
+    before = [np.where(np.arange(k) == 0, 0.0, penalty)]
+    for p in passages[:-1]:
+        v = (before[-1][:, None] + p).min(axis=0)
+        before.append(v - v.min())
+    after = [np.zeros(k)]
+    for p in reversed(passages[1:]):
+        v = (p + after[-1][None, :]).min(axis=1)
+        after.append(v - v.min())
+    return list(zip(before, reversed(after), strict=True))
+
+
+@cache
 def unit_factors() -> dict[str, np.ndarray]:
     """The logarithms of all ratios between two units of one dimension."""
     factors: dict[str, set[float]] = {}
@@ -80,37 +98,76 @@ def unit_factors() -> dict[str, np.ndarray]:
     return {c: np.unique([float(f"{math.log(a / b):.9g}") for a in f for b in f if a != b]) for c, f in factors.items()}
 
 
-def _segmenter(sources: Sequence[str], penalty: float, block: int, tolerance: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = unit_factors()
-        held: list[pd.DataFrame] = []
-        size = 0
-
-        def flush() -> pd.DataFrame:
-            rows = pd.concat(held, ignore_index=True)
-            level = np.zeros(len(rows))
-            for at in rows.groupby(list(sources), sort=False, dropna=False).indices.values():
-                level[at] = segment_levels(np.round(rows["log_ratio"].to_numpy(float)[at], 9), penalty)
-            shift = np.full(len(rows), np.nan)
-            for common, at in rows.groupby("common", sort=False).indices.items():
-                logs = known.get(common)
-                if logs is not None and len(logs):
-                    i = np.clip(np.searchsorted(logs, level[at]), 1, len(logs) - 1) if len(logs) > 1 else np.zeros(len(at), int)
-                    near = np.where(np.abs(logs[i - 1] - level[at]) < np.abs(logs[i] - level[at]), logs[i - 1], logs[i])
-                    hit = np.abs(near - level[at]) <= tolerance
-                    shift[at] = np.where(hit, [float(f"{math.exp(x):.7g}") for x in near], np.nan)
-            return rows.assign(level=level, shift=shift)
+def nearest_factor(common: str, values: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each value the logarithm of the known ratio that it equals, else not-a-number."""
+    known = unit_factors().get(common, np.empty(0))
+    if not len(known):
+        return np.full(len(values), np.nan)
+    i = np.clip(np.searchsorted(known, values), 1, max(1, len(known) - 1))
+    near = known[np.minimum(i, len(known) - 1)]
+    near = np.where(np.abs(known[i - 1] - values) < np.abs(near - values), known[i - 1], near)
+    return np.where(np.abs(near - values) <= math.log1p(tolerance), near, np.nan)
 
-        for b in batches:
-            held.append(b)
-            size += len(b)
-            if size >= block:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
 
-    return run
+def _occurring(rows: DataFrame, tolerance: float) -> dict[str, np.ndarray]:
+    """Zero and the known ratios that occur, for each dimension; their number is bounded by the unit table."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for common, own in b.groupby("common"):
+                hit = nearest_factor(common, own["log_ratio"].to_numpy(float), tolerance)
+                hit = np.unique(hit[~np.isnan(hit)])
+                yield pd.DataFrame({"common": pd.Series([common] * len(hit), dtype=object), "level": hit})
+
+    found = rows.where(F.abs("log_ratio") > math.log1p(tolerance)).select("common", "log_ratio").mapInPandas(run, "common string, level double").distinct().collect()
+    levels: dict[str, list[float]] = {}
+    for r in found:
+        levels.setdefault(r.common, []).append(r.level)
+    return {c: np.array([0.0, *sorted(v)]) for c, v in levels.items()}
+
+
+def segmented(rows: DataFrame, history: Sequence[str], *, tolerance: float, penalty: float | None, block: int) -> DataFrame:
+    """``rows`` (history, at, key, log_ratio, stored, stated, ...) with level and factor: the logarithm and the ratio of the segment's shift."""
+    micros = F.coalesce(F.unix_micros("at"), F.lit(None).cast("bigint"))
+    size = rows.groupBy(*history).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    ends = rows.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()
+    slices = max(1, -(-size // block))
+    width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // slices + 1)
+    cost = OUTLIER + 2 * math.log(max(size, 2)) if penalty is None else penalty
+    levels = _occurring(rows, tolerance)
+    cut = rows.withColumn("slice", F.coalesce(F.floor((micros - F.lit(ends["lo"] or 0)) / F.lit(width)), F.lit(0)).cast("bigint"))
+
+    def costs_of(own: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        own = own.astype({c: object for c in own.columns if own[c].dtype.name in ("str", "string")})  # in one piece, whatever batches it came in
+        own = own.sort_values(["at", "key"], na_position="first", kind="stable")
+        ladder = levels.get(own["common"].iloc[0], np.zeros(1))
+        return own, ladder, *row_costs(own["log_ratio"].to_numpy(float), ladder, tolerance)
+
+    def search(own: pd.DataFrame, borders: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({c: [] for c in [*own.columns, "level", "shift"]})
+        own, ladder, run, costs = costs_of(own)
+        before, after = (borders["before"].iloc[0], borders["after"].iloc[0]) if len(borders) else (np.where(np.arange(len(ladder)) == 0, 0.0, cost), np.zeros(len(ladder)))
+        level = ladder[best_levels(costs, cost, np.asarray(before, float), np.asarray(after, float))[run]]
+        near = nearest_factor(own["common"].iloc[0], own["log_ratio"].to_numpy(float), tolerance)
+        return own.assign(level=level, shift=np.where(np.isnan(near), np.nan, [float(f"{math.exp(x):.7g}") if x == x else math.nan for x in near]))
+
+    def passage(own: pd.DataFrame) -> pd.DataFrame:
+        own, _, _, costs = costs_of(own)
+        return own[[*history, "slice"]].iloc[:1].assign(cost=[passage_costs(costs, cost).ravel().tolist()])
+
+    def compose(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.astype({h: object for h in history}).sort_values("slice")
+        k = math.isqrt(len(own["cost"].iloc[0]))
+        borders = slice_borders([np.asarray(c, float).reshape(k, k) for c in own["cost"]], cost)
+        return own[[*history, "slice"]].assign(before=[b.tolist() for b, _ in borders], after=[a.tolist() for _, a in borders])
+
+    keys = ", ".join(f"`{h}` string" for h in history) + ", slice bigint"
+    group = [*history, "slice"]
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", level double, shift double"
+    if slices == 1:  # every series is one slice: nothing comes before or after
+        return cut.groupBy(*group).applyInPandas(lambda own: search(own, pd.DataFrame()), out)
+    borders = cut.select(*group, "at", "key", "log_ratio").groupBy(*group).applyInPandas(passage, keys + ", cost array<double>").groupBy(*history).applyInPandas(compose, keys + ", before array<double>, after array<double>")
+    return cut.groupBy(*group).cogroup(borders.groupBy(*group)).applyInPandas(search, out)
 
 
 def unify_quantities(
@@ -125,12 +182,14 @@ def unify_quantities(
     sources: Sequence[str] = ("extraction_version",),
     time: str = "created_at",
     tolerance: float = 1e-3,
-    block: int = 50_000,
+    penalty: float | None = None,
+    block: int = 500_000,
 ) -> DataFrame:
-    """(key, common_unit, magnitude, stored, state, level, factor): one row for each claim that states a quantity.
+    """(key, common_unit, magnitude, stored, state, level, factor, repaired): one row for each claim that states a quantity.
 
-    ``state`` is same, missing, dimension or shifted; ``level`` is that of the segment, ``factor`` the
-    unit ratio it equals, if any; ``magnitude`` is the stated value in common units.
+    ``state`` is same, missing, dimension, unit_change (on the level of a segment that a known ratio shifts) or
+    deviation (off the level of its segment, or without a ratio); ``level`` is the logarithm of the segment's shift, ``factor`` the known unit ratio that the row
+    is off by, if any; ``repaired`` is the stored value with the factor reversed; ``magnitude`` is the stated value in common units.
     """
     named = {"raw": raw, "span": span, "name": name}
     rows = claims.select(
@@ -143,16 +202,15 @@ def unify_quantities(
                        F.when(~F.col("absent"), to_common(F.col("m"), F.col("u"))).alias("stored"),
                        F.when(F.col("absent"), "missing").when(F.col("u").isNull() | (F.col("u.common") != F.col("q.common")), "dimension").alias("state"))
     ratio = F.when(F.col("state").isNull() & (F.col("stated") * F.col("stored") > 0), F.log(F.col("stored") / F.col("stated")))
-    rows = checkpoint(rows.withColumn("log_ratio", ratio))  # read below by the sampling of ranges, the segments and the rest
+    rows = checkpoint(rows.withColumn("log_ratio", ratio))  # read below for sizes and levels, the segments and the rest
     history = ["common", *[f"s{i}" for i in range(len(sources))]]
-    series = rows.where("log_ratio is not null").repartitionByRange(*history, "at", "key").sortWithinPartitions(*history, "at", "key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema) + ", level double, shift double"
-    # A change is worth a cut when it moves a neighbour by the tolerance: half of the least gain of a lone deviation.
-    levelled = series.mapInPandas(_segmenter(history, math.log1p(tolerance) ** 2 / 8, block, math.log1p(tolerance)), schema)
+    wide = math.log1p(tolerance)
     differs = F.abs(F.col("stored") - F.col("stated")) > tolerance * F.greatest(F.abs("stated"), F.abs("stored"))
-    moved = levelled.withColumn("state", F.when((F.abs("level") > math.log1p(tolerance) / 4) & differs, "shifted").otherwise("same"))
+    levelled = segmented(rows.where("log_ratio is not null").drop("state"), history, tolerance=tolerance, penalty=penalty, block=block).drop("slice")
+    changed = (F.col("level") != 0) & (F.abs(F.col("log_ratio") - F.col("level")) <= wide)
+    moved = levelled.withColumn("state", F.when(changed & differs, "unit_change").when(differs, "deviation").otherwise("same")).withColumn("shift", F.when(differs & ~F.isnan("shift"), F.col("shift")))
     rest = rows.where("log_ratio is null").withColumn("level", F.lit(None).cast("double")).withColumn("shift", F.lit(None).cast("double"))
-    rest = rest.withColumn("state", F.coalesce("state", F.when(differs, "shifted").otherwise("same")))
+    rest = rest.withColumn("state", F.coalesce("state", F.when(differs, "deviation").otherwise("same")))
     return moved.unionByName(rest).select(
-        F.col("key").alias(key), F.col("common").alias("common_unit"), F.col("stated").alias("magnitude"), "stored", "state", "level", F.col("shift").alias("factor")
+        F.col("key").alias(key), F.col("common").alias("common_unit"), F.col("stated").alias("magnitude"), "stored", "state", "level", F.col("shift").alias("factor"), (F.col("stored") / F.coalesce("shift", F.lit(1.0))).alias("repaired")
     )

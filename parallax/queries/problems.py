@@ -55,14 +55,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_units(spark: SparkSession, d: str) -> DataFrame:
-    return _units(spark, d).select(F.col("id").alias("claim_id"), "common_unit", "magnitude", "stored", "state").distinct()
+    """Every stated quantity in its common unit; changes of unit and lone deviations together, as SQL has no search for changes."""
+    state = F.when(F.col("state").isin("unit_change", "deviation"), "shifted").otherwise(F.col("state"))
+    return _units(spark, d).select(F.col("id").alias("claim_id"), "common_unit", "magnitude", "stored", state.alias("state")).distinct()
 
 
 def p7_shifts(spark: SparkSession, d: str) -> DataFrame:
-    """How often each source changed a unit, by the factor to reverse."""
+    """How often each source is off by a unit, by the factor to reverse, as a change over a run of its history or as a lone value."""
     version = table(spark, d, "claim").select("id", clean("extraction_version").alias("extraction_version")).distinct()
-    moved = _units(spark, d).where("state = 'shifted'").distinct().join(version, "id")
-    return moved.groupBy("extraction_version", "common_unit", "factor").agg(F.count(F.lit(1)).alias("claims"))
+    moved = _units(spark, d).where("state in ('unit_change', 'deviation')").distinct().join(version, "id")
+    return moved.groupBy("extraction_version", "common_unit", "state", "factor").agg(F.count(F.lit(1)).alias("claims"))
 
 
 QUERIES = {"p7_found": p7_found, "p7_units": p7_units, "p7_shifts": p7_shifts, "p1_found": p1_found, "p1_trailing": p1_trailing, "p5_found": p5_found, "p5_report": p5_report}

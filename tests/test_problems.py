@@ -1,11 +1,12 @@
 import datetime as dt
+import itertools
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from parallax.operators.orphans import Bitmap, Link, orphan_references, orphan_report
-from parallax.operators.quantities import changepoints, segment_levels, unify_quantities
+from parallax.operators.quantities import best_levels, passage_costs, slice_borders, unify_quantities
 from parallax.operators.trailing import trailing_totals
 
 EVENT = "id bigint, ts timestamp_ntz, est_cost_usd double, namespace string, loaded_at timestamp_ntz, entity string, day string"
@@ -89,23 +90,39 @@ def test_orphans_hot_key(spark):
     assert len(got) == 200 and {r.reason for r in got} == {"missing"}
 
 
-def brute(values, penalty):
-    n = len(values)
-    best = [-penalty] + [0.0] * n
-    for t in range(1, n + 1):
-        best[t] = min(best[s] + np.var(values[s:t]) * (t - s) + penalty for s in range(t))
-    return best[n]
-
-
-def test_changepoints_exact():
+def test_levels_exact():
+    """The search finds a path of least cost, however the rows are cut into slices."""
     rnd = np.random.default_rng(5)
-    for _ in range(60):
-        v = np.round(np.repeat(rnd.choice([0.0, 6.9, -2.3, 0.1], 5), rnd.integers(1, 5, 5)) + rnd.choice([0, 0.05], 1), 3)
-        penalty = float(rnd.choice([0.01, 0.5, 5.0]))
-        cuts = list(changepoints(v, penalty)) + [len(v)]
-        cost = sum(np.var(v[a:b]) * (b - a) + penalty for a, b in zip(cuts, cuts[1:])) - penalty
-        assert abs(cost - brute(v, penalty)) < 1e-9
-    assert len(changepoints(np.array([]), 1)) == 0 and segment_levels(np.array([0.0, 0, 7, 7]), 0.1).tolist() == [0, 0, 7, 7]
+    for _ in range(40):
+        k, n, penalty = 3, 6, float(rnd.choice([0.3, 2.0, 5.0]))
+        costs = np.minimum(rnd.random((n, k)) * 12, 9.0)
+        start = np.where(np.arange(k) == 0, 0.0, penalty)
+        price = lambda path: start[path[0]] * 1.0 + sum(costs[t, l] for t, l in enumerate(path)) + penalty * sum(a != b for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        want = min(price(p) for p in itertools.product(range(k), repeat=n))
+        assert abs(price(best_levels(costs, penalty, start, np.zeros(k))) - want) < 1e-9
+        cuts = [0, *sorted(rnd.choice(np.arange(1, n), 2, replace=False)), n]
+        parts = [costs[a:b] for a, b in zip(cuts, cuts[1:])]
+        borders = slice_borders([passage_costs(p, penalty) for p in parts], penalty)
+        path = np.concatenate([best_levels(p, penalty, *b) for p, b in zip(parts, borders, strict=True)])
+        assert abs(price(path) - want) < 1e-9
+
+
+def test_unit_change_in_history(spark):
+    """A run in another unit is a change of unit, a lone wrong value is a deviation, whatever the size of slices; without the search no change is found."""
+    rnd = random.Random(4)
+    rows = []
+    for k in range(120):
+        value = rnd.uniform(5, 50)
+        factor = 1e-3 if 40 <= k < 70 and k != 55 else 1e3 if k in (10, 90) else 1.37 if k == 100 else 1.0
+        rows.append(("Current", f"{value:.6f} A", value * factor * (1 + rnd.uniform(-3e-4, 3e-4)), "ampere", None))
+    got = unified(spark, rows)
+    change = {int(k[1:]) for k, r in got.items() if r.state == "unit_change"}
+    assert change == set(range(40, 70)) - {55} and {int(k[1:]) for k, r in got.items() if r.state == "deviation"} == {10, 90, 100}
+    assert got["c55"].state == "same" and got["c55"].level < 0 and got["c100"].factor is None and abs(got["c10"].factor - 1e3) < 1e-6
+    assert all(abs(r.repaired / r.magnitude - 1) < 1e-3 for k, r in got.items() if k != "c100")
+    for block in (7, 40):
+        assert {k: (r.state, r.level, r.factor) for k, r in unified(spark, rows, block=block).items()} == {k: (r.state, r.level, r.factor) for k, r in got.items()}
+    assert not any(r.state == "unit_change" for r in unified(spark, rows, penalty=1e9).values())
 
 
 CLAIM = "id string, attribute string, raw_value string, normalized_magnitude double, normalized_unit string, span_text string, extraction_version string, created_at timestamp_ntz, q string, key string"
@@ -126,9 +143,9 @@ def test_quantities(spark):
     ]
     got = unified(spark, rows)
     state = {int(k[1:]): (r.state, r.common_unit) for k, r in got.items()}
-    assert [state[k][0] for k in range(12)] == ["same", "same", "shifted", "same", "same", "same", "same", "same", "shifted", "missing", "dimension", "missing"]
+    assert [state[k][0] for k in range(12)] == ["same", "same", "deviation", "same", "same", "same", "same", "same", "deviation", "missing", "dimension", "missing"]
     assert not {12, 13, 14, 19} & set(state)
-    assert state[15][0] == "same" and state[16][0] == "shifted" and state[17][0] == "same" and state[18][0] == "dimension"
+    assert state[15][0] == "same" and state[16][0] == "deviation" and state[17][0] == "same" and state[18][0] == "dimension"
     assert abs(got["c2"].factor - 0.001) < 1e-9 and got["c1"].magnitude == 1160.0
-    assert unified(spark, rows, block=3).keys() == got.keys() and {k: r.state for k, r in unified(spark, rows, block=3).items()} == {k: r.state for k, r in got.items()}
+    assert {k: r.state for k, r in unified(spark, rows, block=3).items()} == {k: r.state for k, r in got.items()}
     assert unified(spark, []) == {}
