@@ -40,11 +40,23 @@ FEATURES = (
     "n_words", "mean_word_length", "letter_share", "digit_share", "symbol_share", "common_share", "n_lines", "words_per_line", "line_end_share", "bullet_share",
     "cells_per_line", "numeric_cell_share", "distinct_share", "chars_per_word",
 )
-#: What rules may use: the statistics that are cheap to compute over a whole corpus.
-RULE_FEATURES = ("common_share", "words_per_line", "line_end_share", "cells_per_line", "numeric_cell_share", "chars_per_word")
 KINDS = ("table", "list", "junk")
 
 
+#: Blanks of the class used below, the same in every engine of regular expressions.
+_BLANK = r" \t\n\r\f\x0b"
+#: Patterns over the skeleton, in which every run of two letters or more is ``xx``.
+LINE = rf"[^{_BLANK}\x{{a0}}][^\r\n]*"
+LINE_END = rf"[.!?;:,…][\"')\]»”’]*[ \t\x{{a0}}]*(?:[\r\n]|\z)"
+BULLET = rf"(?:^|[\r\n])[ \t]*(?:[-–—•*·▪◦o]|\(?[0-9]{{1,4}}[.)]|\(?[a-zA-Z][.)])[ \t]+[^{_BLANK}]"
+GAP, DEAD_GAP = r"[ \x{a0}]{2,}", r"[ \x{a0}]{2,}(?:[\t\r\n\f\x0b]|\z)"
+DEAD_SEMICOLON = rf";(?:[{_BLANK}]|\z)"
+NUMERIC_CELL = r"(?:[|¦\t;]|[ \x{a0}]{2,})[ ]?[0-9-]"
+UNSEEN = rf"[a-zA-Z\p{{L}}{_BLANK}\x{{a0}}\x{{feff}}]+"
+SEEN = rf"[^{_BLANK}\x{{a0}}\x{{feff}}]"
+PLAIN_MARKS = r"""[\p{N}.,;:'"()?!/§–—“”„‘’«»-]+"""
+
+
 def text_statistics(documents: DataFrame, key: str = "doc_id", text: Column | str = "text", lang: Column | str = "lang") -> DataFrame:
     """(key, one column for each of FEATURES, readable): one pass of plain expressions over the whole text.
 
@@ -52,26 +64,27 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: Column | st
     letters, digits and usual punctuation; a cell mark is a bar, a tab, a semicolon without a blank after
     it or a gap of two blanks; a numeric cell is a mark followed by a digit (looked for in texts with a mark to a
     line or more); a bullet is a dash, dot, number or letter that opens a line.
+
+    The text is gone through twice, for its words and for its skeleton, which is much shorter; all marks are counted there.
     """
     rows = documents.select(F.col(key).alias("__key"), F.coalesce(col(text), F.lit("")).alias("t"), col(lang).alias("g"))
-    rows = rows.withColumn("words", F.split(F.lower("t"), r"[^a-z\p{L}]+"))  # plain letters first: the class is tried in its order
+    rows = rows.select("__key", "g", F.col("t").rlike(SEEN).alias("readable"), F.length("t").alias("size"), F.split(F.lower("t"), r"[^a-z\p{L}]+").alias("words"), F.regexp_replace("t", r"[a-zA-Z\p{L}]{2,}", "xx").alias("s"))
     within = lambda g: F.size(F.filter("words", lambda w: w.isin(COMMON[g])))
     common = F.when(F.col("g") == "en", within("en")).when(F.col("g") == "de", within("de")).when(F.col("g") == "fr", within("fr")).when(F.col("g") == "es", within("es"))
-    count = lambda pattern: F.regexp_count("t", F.lit(pattern))
+    count = lambda pattern: F.regexp_count("s", F.lit(pattern))
+    without = lambda c, pattern: F.length(F.regexp_replace(c, pattern, ""))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    visible = F.col("t")
-    for blank in (" ", "\n", "\r", "\t", "\xa0", "\ufeff"):  # plain replacement is much faster than counting matches
-        visible = F.replace(visible, F.lit(blank), F.lit(""))
+    marks = F.col("s")
+    for mark in "|¦\t":
+        marks = F.replace(marks, F.lit(mark), F.lit(""))
     edges = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0) + F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
     rows = rows.select(
-        "__key", (F.size("words") - edges).alias("n_words"), F.length(F.array_join("words", "")).alias("letters"),
-        F.coalesce(common, F.greatest(*[within(g) for g in COMMON])).alias("common"), F.length(visible).alias("seen"), F.col("t").rlike(r"[^\s\xa0\ufeff]").alias("readable"),
-        count(r"(?m)^[^\S\r\n]*[^\s\xa0]").alias("n_lines"), count(r"\d").alias("digits"), count(r"""[^\p{L}\p{N}\s\xa0.,;:'"()?!/§–—“”„‘’«»\-]""").alias("symbols"),
-        count(r"[.!?;:,…][\"')\]»”’]*[ \t\xa0]*(?:[\r\n]|\z)").alias("ends"),
-        count(r"(?m)^[ \t]*(?:[-–—•*·▪◦o]|\(?[0-9]{1,4}[.)]|\(?[a-zA-Z][.)])[ \t]+\S").alias("bullets"),
-        count(r"(?=[|¦\t; \xa0])(?:[|¦\t]|;(?=\S)|[ \xa0]{2,}(?=\S))").alias("cells"), F.length("t").alias("size"), F.size(F.array_distinct("words")).alias("distinct"), "t",
+        "__key", "readable", "s", "size", (F.size("words") - edges).alias("n_words"), F.length(F.array_join("words", "")).alias("letters"), F.size(F.array_distinct("words")).alias("distinct"),
+        F.coalesce(common, F.greatest(*[within(g) for g in COMMON])).alias("common"), F.regexp_replace("s", UNSEEN, "").alias("v"), count(LINE).alias("n_lines"), count(LINE_END).alias("ends"), count(BULLET).alias("bullets"),
+        (F.length("s") - F.length(marks) + F.length("s") - F.length(F.replace("s", F.lit(";"), F.lit(""))) - count(DEAD_SEMICOLON) + count(GAP) - count(DEAD_GAP)).alias("cells"),
     )
-    rows = rows.withColumn("numeric", F.when((F.col("cells") > 0) & (F.col("cells") >= F.col("n_lines")), count(r"(?=[|¦\t; \xa0])(?:[|¦\t]|;|[ \xa0]{2,})[ ]?[\d-]")).otherwise(0))
+    rows = rows.withColumn("numeric", F.when((F.col("cells") > 0) & (F.col("cells") >= F.col("n_lines")), count(NUMERIC_CELL)).otherwise(0))
+    rows = rows.withColumn("seen", F.col("letters") + F.length("v")).withColumn("digits", F.length("v") - without("v", "[0-9]+")).withColumn("symbols", without("v", PLAIN_MARKS))
     return rows.select(
         F.col("__key").alias(key), "n_words", share("letters", "n_words").alias("mean_word_length"), share("letters", "seen").alias("letter_share"), share("digits", "seen").alias("digit_share"),
         share("symbols", "seen").alias("symbol_share"), share("common", "n_words").alias("common_share"), "n_lines", share("n_words", "n_lines").alias("words_per_line"),
@@ -80,6 +93,30 @@ def text_statistics(documents: DataFrame, key: str = "doc_id", text: Column | st
     )
 
 
+def statistics_sql(table: str = "documents") -> str:
+    """The same statistics in plain SQL."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    count = lambda pattern, c="s": f"len(regexp_extract_all({c}, {quoted(pattern)}))"
+    within = lambda g: "len(list_filter(words, lambda x: x in (" + ", ".join(map(quoted, COMMON[g])) + ")))"
+    share = lambda a, b, name: f"case when {b} > 0 then {a} / {b} else 0 end as {name}"
+    return f"""
+with d as (
+  select doc_id, lang as g, regexp_matches(coalesce(text, ''), {quoted(SEEN)}) as readable, length(coalesce(text, '')) as size, string_split_regex(lower(coalesce(text, '')), '[^a-z\\p{{L}}]+') as words,
+    regexp_replace(coalesce(text, ''), '[a-zA-Z\\p{{L}}]{{2,}}', 'xx', 'g') as s from {table}),
+c as (
+  select doc_id, readable, s, size, len(words) - cast(words[1] = '' as int) - cast(len(words) > 1 and words[-1] = '' as int) as n_words, length(array_to_string(words, '')) as letters, len(list_distinct(words)) as dist,
+    coalesce(case {' '.join(f"when g = '{g}' then {within(g)}" for g in COMMON)} end, greatest({', '.join(within(g) for g in COMMON)})) as common,
+    regexp_replace(s, {quoted(UNSEEN)}, '', 'g') as v, {count(LINE)} as n_lines, {count(LINE_END)} as ends, {count(BULLET)} as bullets,
+    {count("[|¦" + chr(9) + "]")} + {count(";")} - {count(DEAD_SEMICOLON)} + {count(GAP)} - {count(DEAD_GAP)} as cells from d),
+e as (
+  select *, case when cells > 0 and cells >= n_lines then {count(NUMERIC_CELL)} else 0 end as numbers, letters + length(v) as seen, {count('[0-9]', 'v')} as digits,
+    length(regexp_replace(v, {quoted(PLAIN_MARKS)}, '', 'g')) as symbols from c)
+select doc_id, n_words, {share('letters', 'n_words', 'mean_word_length')}, {share('letters', 'seen', 'letter_share')}, {share('digits', 'seen', 'digit_share')}, {share('symbols', 'seen', 'symbol_share')},
+  {share('common', 'n_words', 'common_share')}, n_lines, {share('n_words', 'n_lines', 'words_per_line')}, {share('ends', 'n_lines', 'line_end_share')}, {share('bullets', 'n_lines', 'bullet_share')},
+  {share('cells', 'n_lines', 'cells_per_line')}, {share('numbers', 'cells', 'numeric_cell_share')}, least(1.0, case when n_words > 0 then dist / n_words else 0 end) as distinct_share, {share('size', 'n_words', 'chars_per_word')}, readable
+from e"""
+
+
 _ANY_COMMON = frozenset().union(*COMMON.values())
 _SENTENCE = re.compile(r"[^\W\d_][^.!?]{25,}[.!?]")
 _BULLET = re.compile(r"^\s*(?:[-–—•*·▪◦o]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)])\s+")
@@ -170,7 +207,7 @@ def _grow(x: pd.DataFrame, y: np.ndarray, features: Sequence[str]) -> list[tuple
     return rule
 
 
-def induce_rules(x: pd.DataFrame, labels: np.ndarray, *, order: Sequence[str] = KINDS, features: Sequence[str] = RULE_FEATURES, most_errors: float = 0.25, seed: int = 7) -> list[Rule]:
+def induce_rules(x: pd.DataFrame, labels: np.ndarray, *, order: Sequence[str] = KINDS, features: Sequence[str] = FEATURES, most_errors: float = 0.25, seed: int = 7) -> list[Rule]:
     """An ordered rule list by incremental reduced-error pruning; rows that no rule covers are prose."""
     rng, rules = np.random.default_rng(seed), []
     left = np.ones(len(labels), bool)
@@ -205,15 +242,26 @@ def rules_sql(rules: Sequence[Rule]) -> str:
 
 
 def labelled_sample(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, sample: int = 12_000) -> pd.DataFrame:
-    """The statistics and labels of about ``sample`` documents, drawn by a hash of their key."""
+    """The statistics and labels of about ``sample`` documents, drawn by a hash of their key; all of a smaller table."""
     total = max(1, documents.count())
-    share = min(1.0, sample / total)
-    drawn = documents.where(F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
+    drawn = documents.where(F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(DRAWN)) < F.lit(draw_below(total, sample)))
     label = F.pandas_udf(lambda t: t.map(weak_label, na_action="ignore"), "string")
-    # The sample is small; spread it, as its texts may come from few files. Its labels ride along with the statistics.
+    # The sample is small; spread it, as its texts may come from few files. Its labels ride along with the statistics; nothing is filtered here, as a filter would be moved below the exchange and label twice.
     drawn = drawn.select(F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang")).repartition(documents.sparkSession.sparkContext.defaultParallelism, "__id")
-    rows = drawn.withColumn("__key", F.struct("__id", label("__text").alias("label")))
-    return text_statistics(rows, "__key", "__text", "__lang").where("readable and __key.label is not null").select("__key.*", *FEATURES).dropDuplicates(["__id"]).drop("__id").toPandas()
+    rows = text_statistics(drawn.withColumn("__key", F.struct("__id", label("__text").alias("label"))), "__key", "__text", "__lang").select("__key.*", *FEATURES, "readable").toPandas()
+    kept = rows[rows["readable"] & rows["label"].notna()]
+    if rows["readable"].sum() >= 1000 and not len(kept):
+        raise ValueError("no document of the sample could be labelled, so no rules can be learnt")
+    return kept.drop_duplicates("__id").drop(columns=["__id", "readable"]).reset_index(drop=True)
+
+
+#: Range of the hash that draws the sample.
+DRAWN = 1 << 62
+
+
+def draw_below(total: int, sample: int) -> int:
+    """The bound of the hash under which about ``sample`` of ``total`` rows lie, exact for any total."""
+    return DRAWN if total <= sample else max(1, DRAWN * sample // total)
 
 
 def document_kinds(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, sample: int = 12_000, rules: Sequence[Rule] | None = None) -> DataFrame:

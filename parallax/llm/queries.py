@@ -11,7 +11,7 @@ from parallax.functions.text import clean, fold, is_blank
 from parallax.functions.units import with_quantity
 from parallax.llm.leaks import leaked_items
 from parallax.llm.matching import match_mentions
-from parallax.llm.quality import document_kinds, text_statistics
+from parallax.llm.quality import document_kinds, statistics_sql, text_statistics
 from parallax.llm.survivor import surviving_records
 from parallax.llm.tokens import encode_corpus
 from parallax.llm.truncation import cut_values, truncation_report
@@ -125,6 +125,7 @@ QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found,
 _FULL = "coalesce(lower(trim({0}, chr(32)||chr(9)||chr(10)||chr(13)||chr(160))), '') not in ('', 'n/a', '-', 'see above')"
 _BEST = "coalesce(arg_max(id, (coalesce(trust, -1), created_at)) filter ({0}), '') as {1}_from"
 SQL: dict[str, str] = {
+    "p10_statistics": statistics_sql(),
     "p4_found": quantity_sql("id, entity_id, doc_id, page, attribute, section, span_text, extraction_version, created_at", raw_only=True) + f""",
 r as (
   select id, lower(trim(entity_id, chr(32)||chr(9)||chr(10)||chr(13)||chr(160))) as e, doc_id, page, lower(trim(regexp_replace(attribute, '\\s+', ' ', 'g'))) as a, common, stated, trust, created_at,

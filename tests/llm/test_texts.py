@@ -4,12 +4,13 @@ import random
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from parallax.llm.leaks import WuManber, leaked_items, letters_of, worded
-from parallax.llm.quality import COMMON, document_kinds, induce_rules, labelled_sample, rules_sql, text_statistics, weak_label
+from parallax.llm.quality import COMMON, DRAWN, FEATURES, document_kinds, draw_below, induce_rules, labelled_sample, rules_sql, text_statistics, weak_label
 from parallax.llm.queries import QUERIES, SQL, TOKENIZERS
 from parallax.llm.tokens import compiled, encode_corpus
 from tests.compare import DATA, same
@@ -155,3 +156,19 @@ def test_statistics(spark):
     assert got[4].cells_per_line == 2 and got[5].mean_word_length == 100_000 and got[6].common_share == 0.75
     assert {r.doc_id for r in document_kinds(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), rules=[]).collect()} == {1, 4, 5, 6}
     assert all(len(set(w)) >= 40 for w in COMMON.values())
+
+
+def test_sample_bound_at_any_size():
+    """The share of the hash range that is drawn is never zero, and near the sample for tables of any size."""
+    assert draw_below(10, 12_000) == DRAWN and draw_below(12_001, 12_000) < DRAWN
+    for total in (3 * 10**10, 10**12, 10**15):
+        assert abs(draw_below(total, 12_000) / DRAWN * total - 12_000) < 1
+    assert draw_below(10**25, 12_000) == 1
+
+
+def test_rules_may_use_all_statistics():
+    rnd = np.random.default_rng(3)
+    x = pd.DataFrame({f: rnd.random(400) for f in FEATURES})
+    for name in ("n_words", "mean_word_length", "symbol_share", "bullet_share", "line_end_share", "common_share"):
+        labels = np.where(x[name] > 0.8, "junk", "prose").astype(object)
+        assert {c[0] for _, rule in induce_rules(x, labels) for c in rule} == {name}
