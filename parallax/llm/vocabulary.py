@@ -1,8 +1,9 @@
 """Free-entered values mapped to a canonical list: token repair, then soft TF-IDF over whole entries.
 
 Distinct values are cut into tokens (also at changes of case, as blanks get lost). Each distinct
-token is joined to the tokens of the reference forms by edit distance: both sides
-emit their deletion variants, an equi-join finds pairs that share one, and the distance confirms.
+token is joined to the tokens of the reference forms by edit distance: a word is cut into one part more than the
+edits allowed, of which a token within that distance holds one unchanged and hardly moved; an equi-join on the parts finds all
+such pairs, and the distance confirms. A token has a bounded number of such keys, however long it is, and none if no word is of about its length.
 Abbreviations join in the same way, by prefix or by consonants. The corrected tokens of a value are then
 weighed against every form that shares one, by the cosine of inverse document frequencies times the
 similarity of the tokens. Values whose blanks went missing altogether are compared as one string.
@@ -16,7 +17,7 @@ entries that score alike, gets 0; entries without aliases count by their name; a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,10 +42,9 @@ def name_tokens(c: Column, noise: Sequence[str] = NOISE_WORDS) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(words)
 
 
-def _deletions(t: Column, twice: bool = False) -> Column:
-    once = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-    one = F.array_union(F.array(t), once(t))
-    return F.array_union(one, F.flatten(F.transform(one, lambda s: F.when(F.length(s) > 1, once(s)).otherwise(F.array(s))))) if twice else one
+def _deletions(t: Column) -> Column:
+    """``t`` and what is left of it without one character; for words of the reference."""
+    return F.array_union(F.array(t), F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -54,17 +54,33 @@ def _distance(a: Column, b: Column) -> Column:
     return F.when((d == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)), 1).otherwise(d)
 
 
+def near_pairs(left: DataFrame, right: DataFrame, a: str, b: str, edits: Callable[[Column], Column], most: int) -> DataFrame:
+    """(a, b, longest): all pairs of strings of a column of ``left`` and one of ``right`` that may be within ``edits(longest)`` edits, 1 to ``most``.
+
+    Complete: of the ``k`` + 1 even parts of ``b``, ``k`` edits leave one unchanged, the i-th at most i places from its own
+    and, counted from the end, at most ``k`` - i. Only strings of at least ``most`` + 1 letters are cut.
+    """
+    lengths = right.select(F.length(b).alias("lb")).distinct()
+    longest = F.greatest("la", "lb")
+    fits = lengths.withColumn("la", F.explode(F.sequence(F.greatest(F.lit(1), F.col("lb") - most), F.col("lb") + most))).withColumn("k", edits(longest)).where("abs(la - lb) <= k")
+    # The i-th of k + 1 parts of a string of n letters: the first ones are a letter shorter where n is no multiple.
+    short, spare = F.floor(F.col("lb") / (F.col("k") + 1)).cast("int"), F.col("lb") % (F.col("k") + 1)
+    full = F.greatest(F.lit(0), F.col("i") - (F.col("k") + 1 - spare))
+    parts = fits.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("size", short + (F.col("i") >= F.col("k") + 1 - spare).cast("int")).withColumn("start", F.col("i") * short + full)
+    moved = F.col("la") - F.col("lb")
+    lo = F.greatest(F.lit(0), F.col("start") - F.col("i"), F.col("start") + moved - (F.col("k") - F.col("i")))
+    hi = F.least(F.col("la") - F.col("size"), F.col("start") + F.col("i"), F.col("start") + moved + (F.col("k") - F.col("i")))
+    places = parts.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").withColumn("at", F.explode(F.sequence("lo", "hi")))
+    at_a = left.select(a, F.length(a).alias("la")).join(F.broadcast(places.select("la", "lb", "k", "i", "size", "at")), "la").select(a, "la", "lb", "k", "i", F.expr(f"substring({a}, at + 1, size)").alias("part"))
+    at_b = right.select(b, F.length(b).alias("lb")).join(F.broadcast(parts.select("lb", "k", "i", "size", "start").distinct()), "lb").select(b, "lb", "k", "i", F.expr(f"substring({b}, start + 1, size)").alias("part"))
+    return at_a.join(at_b, ["lb", "k", "i", "part"]).select(a, b, F.greatest("la", "lb").alias("longest")).distinct()
+
+
 def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, word, sim) for distinct ``tokens`` (column token) and reference words (column word)."""
-    edit_t = tokens.where("length(token) >= 4").select("token", F.explode(F.when(F.length("token") >= 5, _deletions(F.col("token"), True)).otherwise(_deletions(F.col("token")))).alias("v"))
-    edit_w = vocabulary.where("length(word) >= 4").select("word", F.explode(F.when(F.length("word") >= 5, _deletions(F.col("word"), True)).otherwise(_deletions(F.col("word")))).alias("v"))
-    longest = F.greatest(F.length("token"), F.length("word"))
-    d = _distance(F.col("token"), F.col("word"))
-    close = (
-        edit_t.join(edit_w, "v").select("token", "word").distinct().withColumn("d", d)
-        .where((F.col("d") <= 1) | ((F.col("d") <= 2) & (longest >= 6)) | ((F.col("d") <= 3) & (longest >= 7)))
-        .select("token", "word", (1 - F.col("d") / longest).alias("sim"))
-    )
+    # Swapped neighbours are two edits to the search, but one to the distance.
+    near = near_pairs(tokens.where("length(token) >= 4"), vocabulary.where("length(word) >= 4"), "token", "word", lambda n: F.when(n >= 7, 3).otherwise(2), 3)
+    close = near.withColumn("d", _distance(F.col("token"), F.col("word"))).where("d <= case when longest >= 7 then 3 when longest = 6 then 2 else 1 end").select("token", "word", (1 - F.col("d") / F.col("longest")).alias("sim"))
     folds = [("0", "o"), ("1", "l"), ("1", "i"), ("5", "s")]
     read = F.array_distinct(F.array(F.col("token"), *[F.translate("token", a, b) for a, b in folds], *[F.translate("token", "01", f"o{x}") for x in "li"]))
     same = tokens.select("token", F.explode(read).alias("word")).join(vocabulary, "word").select("token", "word", F.when(F.col("token") == F.col("word"), 1.0).otherwise(0.98).alias("sim"))
@@ -110,11 +126,11 @@ def map_values(values: DataFrame, reference: DataFrame, *, least: float = 0.62,
     )
     mixed = covered.where("words > 1").join(name_norms, "name").select("name", "entry", (F.lit(0.85) * F.col("dot") / (F.col("name_norm") * F.col("name_norm"))).alias("score"))
     # Lost blanks: the whole value against the whole form.
-    run_n = names.select("name", F.array_join("tokens", "").alias("run")).where("length(run) >= 6")
+    run_n = names.select("name", F.array_join("tokens", "").alias("run")).where("length(run) >= 6").withColumn("read", F.translate("run", "01", "ol"))
     run_f = forms.select("entry", F.array_join("tokens", "").alias("form_run")).where("length(form_run) >= 6").distinct()
+    alike = near_pairs(run_n.select("read").distinct(), run_f.select("form_run").distinct(), "read", "form_run", lambda n: F.lit(2), 2).select("read", "form_run")
     whole = (
-        run_n.select("name", "run", F.explode(_deletions(F.translate("run", "01", "ol"))).alias("v")).join(run_f.select("entry", "form_run", F.explode(_deletions(F.col("form_run"))).alias("v")), "v")
-        .select("name", "run", "entry", "form_run").distinct().withColumn("d", _distance(F.col("run"), F.col("form_run"))).where("d <= 2")
+        alike.join(run_n, "read").join(run_f, "form_run").withColumn("d", _distance(F.col("run"), F.col("form_run"))).where("d <= 2")
         .select("name", "entry", (1 - F.col("d") / F.length("form_run")).alias("score"))
     )
     ranked = scored.unionByName(whole).unionByName(mixed).groupBy("name", "entry").agg(F.max("score").alias("score"))

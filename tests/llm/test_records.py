@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parallax.llm.matching import Mention, Mixture, consistent, match_mentions, mention_of, read_mention
 from parallax.llm.survivor import pick_survivors, skyline_layers, surviving_records
 from parallax.llm.truncation import cut_values, length_limits, long_values, truncation_report
-from parallax.llm.vocabulary import map_values
+from parallax.llm.vocabulary import map_values, near_pairs, repair_tokens
 
 
 def test_skyline_layers():
@@ -140,3 +140,33 @@ def test_matching(spark):
     got = matched(spark, mentions, [*entries, ("gone", None, "pump", "P-500 Lonely mill"), ("null", "p0", None, None)])
     assert got >= want - set() and not {g for g in got if g[0] >= 900}
     assert matched(spark, [], entries) == set() and matched(spark, mentions, []) == set()
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_near_pairs_are_complete(spark):
+    """Brute force: every pair within the edits allowed is found, three substitutions too."""
+    rnd = random.Random(8)
+    words = sorted({"".join(rnd.choice("abcde") for _ in range(rnd.randint(4, 12))) for _ in range(60)} | {"abcdefghi"})
+    tokens = {"abcxyzghi", "z" * 5000}
+    for w in words:
+        for _ in range(6):
+            t = list(w)
+            for _ in range(rnd.randint(0, 4)):
+                k = rnd.randrange(len(t))
+                rnd.choice([lambda: t.insert(k, "x"), lambda: t.pop(k) if len(t) > 4 else None, lambda: t.__setitem__(k, "y")])()  # noqa: B023
+            tokens.add("".join(t))
+    a, b = spark.createDataFrame([(t,) for t in sorted(tokens)], "token string"), spark.createDataFrame([(w,) for w in words], "word string")
+    for most in (2, 3):
+        got = {(r.token, r.word) for r in near_pairs(a, b, "token", "word", lambda n, most=most: F.lit(most), most).collect()}
+        assert {(t, w) for t in tokens for w in words if abs(len(t) - len(w)) <= most and edits(t, w) <= most} <= got
+    repaired = {(r.token, r.word): r.sim for r in repair_tokens(a, b).collect()}
+    assert ("abcxyzghi", "abcdefghi") in repaired and not any(t == "z" * 5000 for t, _ in repaired)
+    assert all(edits(t, w) <= 3 or s >= 0.85 for (t, w), s in repaired.items())
