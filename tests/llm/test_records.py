@@ -80,6 +80,14 @@ def test_limits_and_cuts(spark):
     assert cut_values(empty, "id", F.col("lane"), ["text"], anchor="anchor").count() == 0 and truncation_report(empty, "id", F.col("lane"), ["text"]).count() == 0
 
 
+def test_cuts_of_very_long_words(spark):
+    """A word of thousands of letters, met often, costs no more than the lengths of open ends; ends in numbers are whole."""
+    long = "x" * 5000
+    rows, df = cut_frame(spark, [(2000 + k, "free", f"the court orders {long} again", None) for k in range(5)] + [(2010, "free", f"the court orders {long[:700]}", None), (2011, "free", "the court orders 12", None)])
+    got = {r.id: r.reason for r in cut_values(df, "id", F.col("lane"), ["text"], anchor="anchor").collect()}
+    assert got.get(2010) == "word" and 2011 not in got
+
+
 REF = [(1, "Transformer Impedance", ["%Z", "Xfmr Z"]), (2, "Transformer Rating", ["Xfmr Rtg"]), (7, "No-Load Loss", []), (8, "Load Loss", ["Copper Loss"]), (9, "Fault Current", ["Isc"]), (20, "Ambient Temperature", None), (24, "Pickup Current", ["Pick-up Setting"])]
 
 
