@@ -7,11 +7,10 @@ layers follow by peeling. A field takes its value from the first layer that has
 from the row of highest trust, then latest, then smallest id. As usability is judged per field, this
 is the best usable row of the whole group: a row that beats it is usable too.
 
-Scale: before any group is gathered, rows are reduced map-side to one for each (group, usable fields, trust):
-among those the latest dominates the rest, so no layer that is read loses a row. What is left of a
-group is at most 2**fields times the number of trust levels, however hot the group. Values are put into
-logarithmic bins narrower than the tolerance first, and neighbouring bins are chained by a window
-over the distinct bins of a key, whose number has a bound.
+Scale: keys travel as two 64-bit hashes. Before any group is gathered, rows are reduced map-side to one for each (key, bin of the value, usable fields, trust):
+among those the latest dominates the rest, so no layer that is read loses a row. Bins are narrower than the tolerance. What is left of a
+key, however hot, is at most 2**fields times the number of trust levels for each of its bins; it is put in order of value, chained where
+neighbours are within the tolerance, and reduced again, all on one partitioning.
 
 Defined cases: rows without a quantity in the value form no groups; null parts of a key count as blank;
 an unknown extractor has the least trust; repeated rows of one id count once; groups of one id are
@@ -27,16 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallax.session import checkpoint
-
-
-def value_groups(rows: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-3) -> DataFrame:
-    """(keys, sign, bin, chain): which bins of a key hold one value; ``rows`` has the columns sign and bin of ``value_bin``."""
-    bins = rows.groupBy(*keys, "sign", "bin").agg(F.min(F.abs(value)).alias("lo"), F.max(F.abs(value)).alias("hi"))
-    by = Window.partitionBy(*keys, "sign").orderBy("bin")
-    opens = F.coalesce(F.col("lo") > F.lag("hi").over(by) * (1 + tolerance), F.lit(True))
-    return bins.withColumn("opens", opens.cast("int")).withColumn("chain", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "sign", "bin", "chain")
-
 
 def value_bin(value: Column, tolerance: float = 1e-3) -> tuple[Column, Column]:
     """Sign and logarithmic bin of half the tolerance; zero has bin 0 of sign 0."""
@@ -73,23 +62,22 @@ def surviving_records(rows: DataFrame, keys: Sequence[str], *, id: str, value: s
     """
     sign, bin_ = value_bin(F.col(value), tolerance)
     usable = sum((F.coalesce(c, F.lit(False)).cast("int") * (1 << k) for k, c in enumerate(fields.values())), F.lit(0))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
     points = rows.where(F.col(value).isNotNull()).select(
-        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__k{i}") for i, c in enumerate(keys)], F.col(id).cast("string").alias("id"), F.col(value).alias("v"), sign.alias("sign"), bin_.alias("bin"),
+        F.xxhash64(F.lit(0), *parts).alias("h0"), F.xxhash64(F.lit(1), *parts).alias("h1"), F.col(id).cast("string").alias("id"), F.abs(value).alias("v"), sign.alias("sign"), bin_.alias("bin"),
         usable.alias("usable"), F.coalesce(trust.cast("int"), F.lit(-1)).alias("trust"), F.coalesce(F.unix_micros(time.cast("timestamp")), F.lit(-(1 << 62))).alias("at"),
-    ).where("id is not null")
-    names = [f"__k{i}" for i in range(len(keys))]
-    first = F.struct(F.negative("at"), "id")
-    reduced = points.groupBy(*names, "sign", "bin", "usable", "trust").agg(F.min_by("id", first).alias("id"), F.max("at").alias("at"), F.min("id").alias("lowest"), F.max("id").alias("highest"), F.min("v").alias("v0"), F.max("v").alias("v1"))
-    reduced = checkpoint(reduced)  # read below for the chains and for the groups
-    ends = reduced.select(*names, "sign", "bin", F.explode(F.array("v0", "v1")).alias("v"))
-    chains = value_groups(ends, names, "v", tolerance)
-    group = [*names, "sign", "chain"]
-    joined = reduced.join(chains, [*names, "sign", "bin"])
-    # The same reduction over the chain, and the groups of at least two ids.
-    merged = joined.groupBy(*group, "usable", "trust").agg(F.min_by("id", first).alias("id"), F.max("at").alias("at"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+    ).where("id is not null").withColumn("ident", F.xxhash64("id"))
+    # The latest row, of those the smallest id; whether there are two ids shows in their hashes.
+    latest = F.min(F.struct(F.negative("at").alias("age"), "id")).alias("first")
+    reduced = points.groupBy("h0", "h1", "sign", "bin", "usable", "trust").agg(latest, F.min("id").alias("lowest"), F.min("ident").alias("i0"), F.max("ident").alias("i1"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    key = ["h0", "h1", "sign"]
+    by = Window.partitionBy(*key).orderBy("lo", "hi", "usable", "trust")
+    opens = F.coalesce(F.col("lo") > F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)) * (1 + tolerance), F.lit(True))
+    chained = reduced.withColumn("opens", opens.cast("int")).withColumn("chain", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = chained.groupBy(*key, "chain", "usable", "trust").agg(F.min("first").alias("first"), F.min("lowest").alias("lowest"), F.min("i0").alias("i0"), F.max("i1").alias("i1"))
     groups = (
-        merged.groupBy(*group).agg(F.collect_list(F.struct("usable", "trust", "at", "id")).alias("rows"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
-        .where("lowest <> highest").select("lowest", "rows")
+        merged.groupBy(*key, "chain").agg(F.collect_list(F.struct("usable", "trust", F.negative("first.age").alias("at"), "first.id")).alias("rows"), F.min("lowest").alias("lowest"), F.min("i0").alias("i0"), F.max("i1").alias("i1"))
+        .where("i0 <> i1").select("lowest", "rows")
     )
 
     out = [f"{f}_from" for f in fields]
