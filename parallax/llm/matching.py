@@ -1,19 +1,21 @@
 """Matching mentions of equipment to a register without a common key.
 
 Mentions and register entries are read into kind, number and place. Candidates come from equi-joins on
-narrow keys inside a scope (number; place, through its deletion variants; kind and area), never from all
-pairs of a scope. Each candidate pair gets a vector of similarities; two regularised Gaussians, matched and
-unmatched, are fitted to the vectors by expectation-maximisation without labels. In every E-step the
-transitivity constraint holds: the entries of a register are different things, so the match
-probabilities of one mention share a total of one with the case that none matches. The result is a
-posterior for each pair.
-
-Scale: the pair table is checkpointed; an EM step is one map that reduces every partition to the sums of
-two Gaussians, so nothing of the size of the data reaches the driver; the number of steps is fixed.
-Candidates of one mention travel as one array, whose length the blocking keys bound.
-
-Defined cases: mentions without number and place have no candidates; null scopes of entries are looked up
-through the documents of their claims, else they match by number and place together; repeated rows of
+narrow keys inside a scope (number; exact place; for mentions without a number place through its deletion variants, or kind and area), never from all
+pairs of a scope. Each candidate pair gets a vector of similarities (number, where one wrong digit counts half; kind; place; whether
+a stored claim supports it); a matched and an unmatched class, regularised Gaussians with a rate of support each,
+are fitted to the vectors by expectation-maximisation without labels. No rule stands beside them: the posterior decides.
+Transitivity holds in two ways. In every E-step the entries of a register are different things, so the match
+probabilities of one mention share a total of one with the case that none matches. And mentions of one entry are one thing: where
+an entry says no place, the place to which its mentions give most probability is its place, and what else was
+said to be it is not. The result is a posterior for each pair.
+
+Scale: similarities are built-in expressions; the pair table is checkpointed; an EM step is one map that reduces every partition to the sums of
+two classes, so nothing of the size of the data reaches the driver; the number of steps is fixed.
+Candidates of one mention travel as one array: entries of its scope with its number, or with its place but for a letter.
+
+Defined cases: mentions without number and place, or without a scope, have no candidates; null scopes of entries are looked up
+through the documents of their claims, else they match by kind, number and place together; repeated rows of
 one mention count once; empty inputs give an empty result.
 """
 
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallax.session import checkpoint
@@ -94,76 +96,58 @@ def mention_of(tag: str | None, span: str | None, parameter_words: frozenset[str
     return Mention(kind, number, a.place or b.place)
 
 
-def edit_similarity(a: str, b: str) -> float:
-    """1 - edit distance / longer length."""
-    if a == b:
-        return 1.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return 1 - row[-1] / max(len(a), len(b), 1)
-
-
 def block_keys(scope: str | None, m: Mention) -> list[str]:
-    """Keys under which a mention or an entry meets its candidates; ``scope`` None for entries of no known scope."""
-    keys = []
+    """Keys under which an entry meets its candidates; ``scope`` None for entries of no known scope."""
     words = m.place.split()
     name, area = (words[0], words[-1]) if words else ("", "")
     if scope is None:
-        if words and m.number is not None:
-            keys += [f"?|{m.number}|{name[:3]}", f"?|{m.number}|{area}"]
-        if words:
-            keys.append(f"?|{m.kind}|{area}|{name[:3]}")
-        return keys
-    if m.number is not None:
-        keys.append(f"{scope}|n|{m.number}")
+        return [f"?|{m.kind}|{m.number}|{name}|{area}"] if words and m.kind else []
+    keys = [] if m.number is None else [f"{scope}|n|{m.number}"]
     if words:
         variants = {name, *(name[:i] + name[i + 1 :] for i in range(len(name)))} if len(name) >= 4 else {name}
-        keys += [f"{scope}|v|{v}" for v in sorted(variants)]
+        keys += [f"{scope}|w|{name}|{area}", *(f"{scope}|v|{v}" for v in sorted(variants))]
         if len(words) > 1 and m.kind:
             keys.append(f"{scope}|a|{m.kind}|{area}|{name[:1]}")
     return keys
 
 
 def mention_keys(scope: str | None, m: Mention) -> list[str]:
-    """The keys of a mention: its number, if it has one, else its place; and those of entries of no known scope."""
+    """The keys of a mention: its number and its exact place, or, without a number, its place as entries have it; and that of entries of no known scope."""
     if scope is None or (m.number is None and not m.place):
         return []
-    return block_keys(scope, m if m.number is None else Mention(m.kind, m.number, "")) + block_keys(None, m)
-
+    keys = block_keys(scope, m)
+    return [k for k in keys if m.number is None or "|v|" not in k and "|a|" not in k] + block_keys(None, m)
 
-def pair_vector(a: Mention, b: Mention, supported: bool) -> tuple[float, float, float, float]:
-    """Agreement of number, kind and place, not-a-number where one side is silent, and support by a stored claim."""
-    agree = lambda x, y: math.nan if x is None or y is None else float(x == y)
-    place = edit_similarity(a.place, b.place) if a.place and b.place else math.nan
-    return agree(a.number, b.number), agree(a.kind, b.kind), place, float(supported)
 
-
-def consistent(x: np.ndarray, least: float = 0.6) -> np.ndarray:
-    """No part of the names contradicts, and number or place agrees."""
-    if not len(x):
-        return np.empty(0, bool)
-    return ~(x[:, 0] == 0) & ~(x[:, 1] == 0) & ~(x[:, 2] < least) & ((x[:, 0] == 1) | (x[:, 2] >= least))
+def pair_vector() -> Column:
+    """Similarity of number, kind and place, null where one side is silent, and support by a stored claim."""
+    a, b = F.col("number").cast("string"), F.col("e_number").cast("string")
+    number = F.when(a == b, 1.0).when((F.length(a) > 1) & (F.levenshtein(a, b) == 1), 0.5).when(a.isNotNull() & b.isNotNull(), 0.0)
+    kind = (F.col("kind") == F.col("e_kind")).cast("double")
+    longest = F.greatest(F.length("place"), F.length("e_place"))
+    place = F.when((F.col("place") != "") & (F.col("e_place") != ""), 1 - F.levenshtein("place", "e_place") / longest)
+    return F.array(number, kind, place, F.when(F.col("supported"), 1.0).otherwise(0.0))
 
 
 class Mixture:
-    """Matched and unmatched Gaussians over similarity vectors, with covariances regularised by the gap of the means.
+    """Matched and unmatched class: Gaussians over similarities, with covariances regularised by the gap of the means, and rates of support.
 
     A vector counts by the dimensions that it has (the marginal density); moments are taken over the pairs of
-    dimensions that are both there.
+    dimensions that are both there. The last column of a vector is support, 0 or 1, too rare for a Gaussian.
     """
 
     def __init__(self, dims: int):
         self.mean = np.array([np.full(dims, 0.95), np.full(dims, 0.4)])
         self.cov = np.array([np.eye(dims) * 0.05, np.eye(dims) * 0.05])
         self.weight = np.array([0.5, 0.5])
+        self.support = np.array([0.2, 0.05])
 
     def log_ratio(self, x: np.ndarray) -> np.ndarray:
         """log of (weighted matched density / weighted unmatched density)."""
+        given, x = x[:, -1], x[:, :-1]
         there = ~np.isnan(x)
-        out = np.full(len(x), math.log(self.weight[0] / self.weight[1]))
+        rate = np.log(self.support), np.log1p(-self.support)
+        out = math.log(self.weight[0] / self.weight[1]) + np.where(given > 0, rate[0][0] - rate[0][1], rate[1][0] - rate[1][1])
         patterns, which = np.unique(there, axis=0, return_inverse=True)
         for i, pattern in enumerate(patterns):
             own, at = np.flatnonzero(which.ravel() == i), np.flatnonzero(pattern)
@@ -173,29 +157,28 @@ class Mixture:
                 out[own] += sign * (-0.5 * np.linalg.slogdet(part)[1] - 0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(part), d))
         return np.clip(out, -60, 60)
 
-    def posteriors(self, x: np.ndarray, owner: np.ndarray, bonus: float = 4.0) -> np.ndarray:
-        """Match probabilities under the constraints: one of the candidates of an owner or none, and no contradiction.
-
-        The last column, support by a stored claim, is too rare for a Gaussian; it multiplies the odds by ``bonus``.
-        """
+    def posteriors(self, x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Match probabilities under the constraint that one of the candidates of an owner matches or none."""
         if not len(x):
             return np.empty(0)
-        ratio = np.exp(self.log_ratio(x[:, :-1])) * consistent(x) * np.where(x[:, -1] > 0, bonus, 1.0)
+        ratio = np.exp(self.log_ratio(x))
         return ratio / (1 + np.bincount(owner, ratio))[owner]
 
     @staticmethod
     def sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Weight, and for each pair of dimensions that are both there: weight, sum of the first, sum of products."""
+        """Weight, weight with support, and for each pair of dimensions that are both there: weight, sum of the first, sum of products."""
+        given, x = x[:, -1], x[:, :-1]
         there = (~np.isnan(x)).astype(float)
         v = np.nan_to_num(x)
         weighed = there * w[:, None]
-        return np.concatenate([[w.sum()], (weighed.T @ there).ravel(), ((v * w[:, None]).T @ there).ravel(), ((v * w[:, None]).T @ v).ravel()])
+        return np.concatenate([[w.sum(), (w * given).sum()], (weighed.T @ there).ravel(), ((v * w[:, None]).T @ there).ravel(), ((v * w[:, None]).T @ v).ravel()])
 
     def updated(self, sums: np.ndarray, shrink: float = 0.05) -> Mixture:
         dims, new = self.mean.shape[1], Mixture(self.mean.shape[1])
         n = sums[:, 0]
+        new.support = (sums[:, 1] + 1) / (n + 2)
         for k in range(2):
-            count, first, second = (m.reshape(dims, dims) for m in np.split(sums[k, 1:], 3))
+            count, first, second = (m.reshape(dims, dims) for m in np.split(sums[k, 2:], 3))
             count = np.maximum(count, 1e-6)
             new.mean[k] = np.diag(first) / np.diag(count)
             new.cov[k] = second / count - (first / count) * (first.T / count)
@@ -208,10 +191,10 @@ class Mixture:
 
 
 def _flat(column: pa.Array, dims: int = 4) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Vectors, the row that each belongs to, and entries of array<struct<entry, x>>, without making Python objects."""
+    """Vectors, the row that each belongs to, and the structs of array<struct<entry, x, ...>>, without making Python objects."""
     owner = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
     inner = column.flatten()
-    return inner.field(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims), owner, inner.field(0)
+    return inner.field(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims), owner, inner
 
 
 def fit_mixture(candidates: DataFrame, dims: int, steps: int) -> Mixture:
@@ -219,12 +202,12 @@ def fit_mixture(candidates: DataFrame, dims: int, steps: int) -> Mixture:
     model = Mixture(dims)
     for _ in range(steps):
         def sums(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, 1 + 3 * dims * dims))
+            total = np.zeros((2, 2 + 3 * dims * dims))
             for b in batches:
                 x, owner, _ = _flat(b.column(0), dims + 1)
                 if len(x):
                     p = model.posteriors(x, owner)
-                    total += [Mixture.sums(x[:, :-1], p), Mixture.sums(x[:, :-1], 1 - p)]
+                    total += [Mixture.sums(x, p), Mixture.sums(x, 1 - p)]
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
 
         parts = candidates.select("c").mapInArrow(sums, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
@@ -234,11 +217,11 @@ def fit_mixture(candidates: DataFrame, dims: int, steps: int) -> Mixture:
     return model
 
 
-def match_mentions(mentions: DataFrame, entries: DataFrame, facts: DataFrame, *, parameter_words: Sequence[str] = (), steps: int = 8) -> DataFrame:
-    """(id, entry, posterior, consistent): every candidate pair with its match probability.
+def match_mentions(mentions: DataFrame, entries: DataFrame, facts: DataFrame, *, parameter_words: Sequence[str] = (), steps: int = 8, alike: float = 0.6) -> DataFrame:
+    """(id, entry, posterior): every candidate pair with its match probability.
 
     ``mentions``: id, scope, tag, span, fact. ``entries``: entry, scope, kind, label. ``facts``: entry, fact. A pair is supported when
-    the entry has the fact of the mention; it is ``consistent`` when no part of the names contradicts.
+    the entry has the fact of the mention.
     """
     words = frozenset(parameter_words)
 
@@ -259,25 +242,22 @@ def match_mentions(mentions: DataFrame, entries: DataFrame, facts: DataFrame, *,
     es = entries.select("entry", "scope", "kind", "label").mapInPandas(read_e, f"entry {entry_type}, e_kind string, e_number bigint, e_place string, keys array<string>")
     met = ms.withColumn("key", F.explode("keys")).drop("keys").join(es.withColumn("key", F.explode("keys")).drop("keys"), "key").drop("key")
     support = facts.select("entry", "fact").distinct().withColumn("supported", F.lit(True))
-    pairs = met.join(support, ["entry", "fact"], "left").groupBy("id").agg(
-        F.collect_set(F.struct("entry", "kind", "number", "place", "e_kind", "e_number", "e_place", F.coalesce("supported", F.lit(False)).alias("supported"))).alias("p")
-    )
-    entry_arrow = pa.string() if entry_type == "string" else pa.int64()
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("entry", entry_arrow), ("x", pa.list_(pa.float64()))]))
-        for b in batches:
-            out = []
-            for v in b.column(1).to_pylist():
-                out.append([{"entry": r["entry"], "x": pair_vector(Mention(r["kind"], r["number"], r["place"]), Mention(r["e_kind"], r["e_number"], r["e_place"]), r["supported"])} for r in v])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["id", "c"])
-
-    candidates = checkpoint(pairs.mapInArrow(vectors, f"id {id_type}, c array<struct<entry: {entry_type}, x: array<double>>>"))
+    # What a mention says of the place of an entry that says none.
+    claim = F.when((F.col("e_place") == "") & (F.col("place") != ""), F.col("place"))
+    pairs = met.join(support, ["entry", "fact"], "left").groupBy("id").agg(F.collect_set(F.struct("entry", pair_vector().alias("x"), claim.alias("claim"))).alias("c"))
+    candidates = checkpoint(pairs)
     model = fit_mixture(candidates, 3, steps)
+    entry_arrow = pa.string() if entry_type == "string" else pa.int64()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, owner, entry = _flat(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), entry, pa.array(model.posteriors(x, owner), pa.float64()), pa.array(consistent(x), pa.bool_())], names=["id", "entry", "posterior", "consistent"])
-
-    return candidates.mapInArrow(score, f"id {id_type}, entry {entry_type}, posterior double, consistent boolean")
+            x, owner, pair = _flat(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pair.field(0).cast(entry_arrow), pair.field(2), pa.array(model.posteriors(x, owner), pa.float64())], names=["id", "entry", "claim", "posterior"])
+
+    scored = candidates.mapInArrow(score, f"id {id_type}, entry {entry_type}, claim string, posterior double")
+    # One entry, one place: of what its mentions claim, the likeliest, and what is like it.
+    claimed = scored.where("claim is not null")
+    place = claimed.groupBy("entry", "claim").agg(F.sum("posterior").alias("mass")).groupBy("entry").agg(F.max_by("claim", F.struct("mass", "claim")).alias("own"))
+    likeness = 1 - F.levenshtein("claim", "own") / F.greatest(F.length("claim"), F.length("own"))
+    settled = claimed.join(place, "entry").withColumn("posterior", F.when(likeness >= alike, F.col("posterior")).otherwise(0.0))
+    return scored.where("claim is null").select("id", "entry", "posterior").unionByName(settled.select("id", "entry", "posterior"))

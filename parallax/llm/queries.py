@@ -111,12 +111,12 @@ def _equipment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Every consistent candidate with its confidence."""
-    return _equipment(spark, d).where("consistent").select(F.col("id").alias("extraction_id"), F.col("entry").alias("entity_id"), F.round("posterior", 4).alias("confidence"))
+    """Every candidate that is not all but impossible, with its confidence."""
+    return _equipment(spark, d).where("posterior >= 0.0001").select(F.col("id").alias("extraction_id"), F.col("entry").alias("entity_id"), F.round("posterior", 4).alias("confidence"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    best = _equipment(spark, d).where("consistent").groupBy("id").agg(F.max_by("entry", F.struct("posterior", "entry")).alias("entity_id"), F.max("posterior").alias("p"))
+    best = _equipment(spark, d).groupBy("id").agg(F.max_by("entry", F.struct("posterior", "entry")).alias("entity_id"), F.max("posterior").alias("p"))
     return best.where("p > 0.5").select(F.col("id").alias("extraction_id"), "entity_id")
 
 
