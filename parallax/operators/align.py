@@ -41,7 +41,7 @@ def pair_bucket(left: Sequence[dict], right: Sequence[dict], reach: float = 1000
     A record looks for partners with its tag, else with any tag. Where counts differ or positions tell
     nothing, only an equal value pairs; else the nearest by height does, within ``reach``.
     """
-    a_rows, b_rows = (sorted(rows, key=lambda r: r["ord"]) for rows in (left, right))
+    a_rows, b_rows = (sorted(rows, key=lambda r: (r["ord"], r["record_id"])) for rows in (left, right))
     n_a, n_b, used, out = len(a_rows), len(b_rows), set(), []
     for a in a_rows:
         fits = [b for b in b_rows if a["numeric"] or a["family"] is None or b["family"] is None or a["family"] == b["family"]]
@@ -181,7 +181,7 @@ def similarity_top1(a: DataFrame, b: DataFrame, *, key: str, vector: str, group:
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = ["g", "blk", "salt"]
     best = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(run, f"a_key {a_type}, b_key {b_type}, similarity double")
-    top = best.groupBy("a_key").agg(F.max_by(F.struct("b_key", "similarity"), F.struct(F.round("similarity", 12), F.negative("b_key") if b_type in ("bigint", "int") else F.lit(0))).alias("t"))
+    top = best.groupBy("a_key").agg(F.min_by(F.struct("b_key", "similarity"), F.struct(F.negative(F.round("similarity", 12)), "b_key")).alias("t"))
     return top.select("a_key", "t.b_key", "t.similarity").where(F.col("similarity") >= least)
 
 

@@ -27,7 +27,7 @@ def _alike(a: dict, b: dict, tolerance: float) -> bool:
 def _repeats(rows: list[dict], tolerance: float) -> list:
     """Ids of rows that repeat a kept one of another lane."""
     kept, dropped = [], []
-    for r in sorted(rows, key=lambda r: (r["rank"], r["ord"])):
+    for r in sorted(rows, key=lambda r: (r["rank"], r["ord"], r["id"])):
         if any(k["lane"] != r["lane"] and _alike(k, r, tolerance) for k in kept):
             dropped.append(r["id"])
         else:

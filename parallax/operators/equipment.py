@@ -27,9 +27,15 @@ def extract_contexts(records: DataFrame, keys: Sequence[str] = ("doc_id",), titl
 
 
 def align_contexts(contexts: DataFrame, fingerprint: Sequence[str | Column], canonical: str = "canonical_id") -> DataFrame:
-    """``contexts`` with aligned_id: contexts of one fingerprint share the least of their handles."""
-    over = Window.partitionBy(*fingerprint)
-    return contexts.withColumn("aligned_id", F.min(canonical).over(over))
+    """``contexts`` with aligned_id: contexts of one fingerprint share the least of their handles.
+
+    The least handle is an aggregate, joined back, so contexts of a frequent fingerprint need not meet in one task. Give the pair of
+    documents in ``fingerprint`` to keep unrelated documents apart.
+    """
+    named = {f"__f{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(fingerprint)}
+    rows = contexts.withColumns({k: F.coalesce(c.cast("string"), F.lit("\0")) for k, c in named.items()})
+    least = rows.groupBy(*named).agg(F.min(canonical).alias("aligned_id"))
+    return rows.join(least, list(named)).select(*contexts.columns, "aligned_id")
 
 
 def cluster_mentions(records: DataFrame, keys: Sequence[str] = ("doc_id",), *, reuse_rows: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallax import fixed
@@ -51,7 +51,7 @@ def extract_parameters(spans: DataFrame, patterns: Sequence[Pattern] = fixed.PAT
     rows = with_base_quantity(rows, "raw_value", "q")
     return rows.select(
         F.xxhash64("doc_id", "page", "name", "raw_value", "pass", "ord", "k", "n").alias("record_id"),
-        (F.col("pass").cast("bigint") * (1 << 56) + F.col("page").cast("bigint") * (1 << 32) + F.pmod(F.col("ord"), F.lit(1 << 20)) * (1 << 12) + F.col("k") * (1 << 6) + F.least("n", F.lit(63))).alias("ord"),
+        F.row_number().over(Window.partitionBy("doc_id").orderBy("pass", "page", "ord", "k", "n", "raw_value")).cast("bigint").alias("ord"),
         (pair if pair is not None else F.lit("")).alias("pair_id"), (side if side is not None else F.lit("a")).alias("side"), "doc_id", "page", "bbox", "section", "span_text", "name", "raw_value",
         F.col("q.magnitude").alias("normalized_magnitude"), F.col("q.dimension").alias("normalized_unit"), "source_path", "entity_tag", F.lit("regex").alias("provenance"), F.lit("regex").alias("extraction_lane"),
     )

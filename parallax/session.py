@@ -15,16 +15,24 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` through the shared folder named in ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the session names none (tests, local mode).
+    A folder of our own is made only where a local session names none (tests).
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parallax-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=eager)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master that names none, an error on a cluster."""
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+    if folder is None and not context.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="parallax-checkpoint-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,7 +1,8 @@
 """Stores on parquet: upserts, append-only logs, a content-addressed cache, exports.
 
-A write makes a new version of a table in a folder beside the old ones and then moves the pointer file, so
-readers see whole versions and a job that dies leaves the old one. Appends add files.
+A write makes a new version of a table in a folder beside the old ones; readers take the newest that is complete (marked
+_SUCCESS), so they see whole versions and a job that dies leaves the old one. A writer claims its number by creating a file that must not
+exist yet, so two writers never share a version; the greater number is what readers see. Appends add files.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parallax.session import checkpoint
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None, order: Column | None = None) -> DataFrame:
     """``old`` with ``new`` merged in by key: new rows are added, of known ones the columns ``update`` (all, if None) are replaced.
@@ -53,7 +56,15 @@ class Table:
 
     def overwrite(self, df: DataFrame) -> None:
         """A new version; the versions before it stay until ``vacuum``."""
-        df.select(*[c.strip().split(" ")[0] for c in self.spark.createDataFrame([], self.schema).columns]).write.mode("overwrite").parquet(f"{self.path}/v{self._version() + 1}")
+        df.select(*[c.strip().split(" ")[0] for c in self.spark.createDataFrame([], self.schema).columns]).write.mode("overwrite").parquet(f"{self.path}/v{self._claim()}")
+
+    def _claim(self) -> int:
+        """A version number that no other writer has."""
+        self._hadoop.mkdirs(self._at(self.path))
+        v = self._version() + 1
+        while not self._hadoop.createNewFile(self._at(f"{self.path}/_claim_{v}")):
+            v += 1
+        return v
 
     def merge(self, new: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None, order: Column | None = None) -> None:
         self.overwrite(upsert(self.read(), new, keys, update, order))
@@ -75,8 +86,11 @@ class Table:
 
 
 def number_rows(df: DataFrame, name: str, base: int) -> DataFrame:
-    """Consecutive numbers after ``base``: counts of partitions are added up, and rows numbered inside them."""
-    marked = df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    """Consecutive numbers after ``base``: counts of partitions are added up, and rows numbered inside them.
+
+    The marks are checkpointed, as both uses must see the same partitions whatever is coalesced or run again.
+    """
+    marked = checkpoint(df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
     before = marked.groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
     inside = F.row_number().over(Window.partitionBy("__p").orderBy("__m"))
     numbered = marked.withColumn("__i", inside).join(F.broadcast(before), "__p")
@@ -84,40 +98,76 @@ def number_rows(df: DataFrame, name: str, base: int) -> DataFrame:
 
 
 class Cache:
-    """Answers by (namespace, key) in parquet partitioned by namespace; a key is a hash of its payload. Failures are not stored."""
+    """Answers by (namespace, key) in parquet partitioned by namespace; a key is a hash of its payload.
+
+    Failures (null answers) are not stored, unless ``failed`` says as what: then they are not asked again. Only a
+    folder that does not exist is an empty cache; any other trouble is an error, not a reason to compute everything again.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.hits, self.misses = spark, path, 0, 0
+    def __init__(self, spark: SparkSession, path: str, failed: str | None = None):
+        self.spark, self.path, self.failed, self.hits, self.misses = spark, path, failed, 0, 0
+
+    def _folder(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path + name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _stored(self, namespace: str) -> DataFrame:
+        system, path = self._folder(f"/namespace={namespace}")
+        if not system.exists(path):
+            return self.spark.createDataFrame([], "key string, value string, stored_at timestamp")
+        return self.spark.read.schema("key string, value string, stored_at timestamp, namespace string").parquet(self.path).where(F.col("namespace") == namespace).drop("namespace")
 
     def _all(self, namespace: str) -> DataFrame:
-        try:
-            return self.spark.read.schema("key string, value string, namespace string").parquet(self.path).where(F.col("namespace") == namespace).select("key", "value")
-        except Exception:
-            return self.spark.createDataFrame([], "key string, value string")
+        """(key, value), of several answers to a key the first."""
+        return self._stored(namespace).groupBy("key").agg(F.min_by("value", F.struct("stored_at", "value")).alias("value"))
 
     def get_or_compute(self, namespace: str, payload: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """(key, value): ``compute`` gets the rows of ``payload`` (key, ...) without an answer and gives (key, value)."""
         known = self._all(namespace)
         wanted = payload.dropDuplicates(["key"])
-        todo = wanted.join(known, "key", "left_anti")
-        self.misses += (missing := todo.count())
-        self.hits += wanted.count() - missing
-        if missing:
-            compute(todo).where("value is not null").select("key", "value", F.lit(namespace).alias("namespace")).write.mode("append").partitionBy("namespace").parquet(self.path)
+        marked = checkpoint(wanted.join(known.select("key", F.lit(True).alias("__known")), "key", "left"))  # counted, computed and answered from one reading
+        counts = marked.agg(F.count("__known").alias("hits"), F.count_if(F.col("__known").isNull()).alias("misses")).first()
+        self.hits, self.misses = self.hits + counts["hits"], self.misses + counts["misses"]
+        wanted = marked.drop("__known")
+        if counts["misses"]:
+            value = F.col("value") if self.failed is None else F.coalesce("value", F.lit(self.failed))
+            fresh = compute(marked.where("__known is null").drop("__known")).select("key", value.alias("value"), F.current_timestamp().alias("stored_at"), F.lit(namespace).alias("namespace"))
+            fresh.where("value is not null").write.mode("append").partitionBy("namespace").parquet(self.path)
         return self._all(namespace).join(wanted.select("key"), "key", "left_semi")
 
     def clear(self, namespace: str) -> int:
         """The entries of a namespace removed; how many."""
         n = self._all(namespace).count()
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/namespace={namespace}")
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        system, target = self._folder(f"/namespace={namespace}")
+        system.delete(target, True)
         return n
 
+    def trim(self, namespace: str, most: int) -> int:
+        """The oldest entries of a namespace removed until about ``most`` are left, those of one moment together; how many."""
+        rows = checkpoint(self._stored(namespace))
+        n = rows.count()
+        if n <= most:
+            return 0
+        # The moment that bounds the newest ``most`` entries, by counts of moments, of which a run has one.
+        moments = rows.groupBy("stored_at").agg(F.count(F.lit(1)).alias("n")).withColumn("newer", F.sum("n").over(Window.orderBy(F.desc("stored_at"))))
+        kept = checkpoint(rows.join(moments.where(F.col("newer") <= most).select("stored_at"), "stored_at", "left_semi"))
+        left = kept.count()
+        system, target = self._folder(f"/namespace={namespace}")
+        system.delete(target, True)
+        kept.withColumn("namespace", F.lit(namespace)).write.mode("append").partitionBy("namespace").parquet(self.path)
+        return n - left
+
     def stats(self) -> dict[str, int]:
         return {"hits": self.hits, "misses": self.misses}
 
 
+def history(rows: DataFrame, time: str = "created_at", **equal: str) -> DataFrame:
+    """Rows that equal the given columns (the decisions of a pair, the claims of an entity), oldest first."""
+    for name, value in equal.items():
+        rows = rows.where(F.col(name) == value)
+    return rows.orderBy(time, *[c for c in ("id",) if c in rows.columns])
+
+
 def cost_summary(events: DataFrame, *, amount: str = "est_cost_usd", groups: Sequence[str] = ("provider", "namespace"), where: Column | None = None) -> DataFrame:
     """(groups, events, total): all, and by each of ``groups``, in one pass; null marks all. Null amounts count as zero."""
     rows = events if where is None else events.where(where)
