@@ -93,8 +93,8 @@ def one_flag_per_record(flags: DataFrame, keys: Sequence[str] = ("pair_id",)) ->
 
 
 def near_misses(flags: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
-    """(keys, parameter, page, a, b, flags): groups of flags of one page with magnitudes alike in four significant digits."""
-    form = lambda c: F.format_string("%.3e", c)
+    """(keys, parameter, page, a, b, flags): groups of flags of one page with magnitudes alike in four significant digits, '' for none."""
+    form = lambda c: F.when(c.isNull(), "").otherwise(F.format_string("%.3e", c))
     return flags.groupBy(*keys, "parameter", F.col("b_record.page").alias("page"), form(F.col("a_record.normalized_magnitude")).alias("a"), form(F.col("b_record.normalized_magnitude")).alias("b")).agg(F.count(F.lit(1)).alias("flags")).where("flags > 1")
 
 

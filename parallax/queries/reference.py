@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parallax import fixed
 from parallax.functions import scalars as S
 from parallax.functions.text import clean, strip
+from parallax.functions.units import NUMBER, folded_table, unit_table
 from parallax.operators import align, dedup, detect, equipment, evaluate, extract, judge, scan
 from parallax.plans.review import ReviewConfig, compare_totals, review
 from parallax.session import table
@@ -62,8 +63,10 @@ def review_totals_all(spark, d):
 
 @query("select o_orderkey as k, 'a' as side from orders where o_orderkey not in (select l_orderkey from lineitem) union all select distinct l_orderkey, 'b' from lineitem where l_orderkey not in (select o_orderkey from orders)")
 def unpaired_orders(spark, d):
-    a, b = _sides(spark, d)
-    return a.join(b, "k", "left_anti").select("k", F.lit("a").alias("side")).unionByName(b.join(a, "k", "left_anti").select("k", F.lit("b").alias("side")))
+    a, b = (x.withColumnRenamed("k", "record_id") for x in _sides(spark, d))
+    pairs = a.join(b.select("record_id"), "record_id").select(F.struct("record_id").alias("a"), F.struct("record_id").alias("b"))
+    side = lambda x, s: align.unpaired(x, pairs, s).select(F.col("record_id").alias("k"), F.lit(s).alias("side"))
+    return side(a, "a").unionByName(side(b, "b"))
 
 
 @query(_TOTALS + "select severity, count(*) as flags from flags where not same group by 1")
@@ -123,6 +126,14 @@ def top1_per_part(spark, d):
     return dedup.keep_best(table(spark, d, "lineitem"), ["l_partkey"], order).select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+def _values(mapping: dict) -> str:
+    return ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in mapping.items())
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 # ---- claims of documents under review
 
 _CLAIM = "with c as (select distinct * from claim), p as (select distinct * from fixture_pair) "
@@ -139,7 +150,7 @@ def _records(spark: SparkSession, d: str, side: str) -> DataFrame:
     box = F.struct(*[F.col(f"bbox_{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
     lane = F.when(clean("extraction_version").startswith("regex"), "regex").when(clean("extraction_version").startswith("vision"), "vision").otherwise("llm_text")
     return rows.select(
-        F.xxhash64("id", "pair_id").alias("record_id"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("ord"), "pair_id", F.lit(side).alias("side"), "doc_id", "page", box.alias("bbox"), "section", F.coalesce("span_text", F.lit("")).alias("span_text"),
+        F.xxhash64("id", "pair_id").alias("record_id"), F.col("id").alias("claim"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("ord"), "pair_id", F.lit(side).alias("side"), "doc_id", "page", box.alias("bbox"), "section", F.coalesce("span_text", F.lit("")).alias("span_text"),
         S.canonical_parameter("attribute").alias("name"), "raw_value", F.col("q.magnitude").alias("normalized_magnitude"), F.col("q.dimension").alias("normalized_unit"), "source_path", S.row_marker("span_text").alias("entity_tag"),
         F.when(lane == "regex", "regex").otherwise("llm").alias("provenance"), lane.alias("extraction_lane"),
     )
@@ -148,13 +159,52 @@ def _records(spark: SparkSession, d: str, side: str) -> DataFrame:
 @query()
 def review_documents(spark, d):
     """The whole review over all pairs of documents; flags."""
-    flags = review(_records(spark, d, "a"), _records(spark, d, "b"), ReviewConfig())["flags"]
+    flags = review(_records(spark, d, "a").drop("claim"), _records(spark, d, "b").drop("claim"), ReviewConfig())["flags"]
     return flags.select("pair_id", "flag_id", "parameter", "severity", F.round("deviation_pct", 4).alias("deviation_pct"), F.round("confidence", 6).alias("confidence"), "authority_rule", "provenance")
 
 
-@query()
+_SPELLED = ", ".join(f"({_quoted(u)}, {_quoted('watt' if v.common == 'volt_ampere' else v.common)}, {v.factor!r}::double, {v.offset!r}::double)" for u, v in unit_table().items())
+_FOLDED = ", ".join(f"({_quoted(u)}, {_quoted('watt' if v.common == 'volt_ampere' else v.common)}, {v.factor!r}::double, {v.offset!r}::double)" for u, v in (unit_table() | folded_table()).items())
+_OUTER = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8239) || chr(8201)"
+#: Claims as records of both sides of the document pairs: what pairing and lane duplicates look at.
+_RECORDS = f"""with recursive exact(s, d, f, o) as (values {_SPELLED}), folded(s, d, f, o) as (values {_FOLDED}), nm(k, v) as (values {_values(fixed.NAME_ALIASES)}),
+c as (select distinct * from claim), pairs as (select fixture_pair_id as pair_id, lower(trim(doc_id_a)) as doc, 'a' as side from fixture_pair union all select fixture_pair_id, lower(trim(doc_id_b)), 'b' from fixture_pair),
+raw as (select *, regexp_replace(trim(raw_value, {_OUTER}), ',', '', 'g') as s0, lower(trim(extraction_version, {_OUTER})) as ver,
+  regexp_extract(coalesce(span_text, ''), '^[ \\t\\n\\r\\f\\x0b|]*([①-⑳]|[㉑-㉟]|\\d{{1,3}}[.)]?|[A-Z]-?\\d{{1,3}})[ \\t\\n\\r\\f\\x0b]+', 1) as mk from c),
+num as (select *, regexp_extract(s0, {_quoted('^(' + NUMBER.replace("(?!" + chr(92) + "d)", "") + ')')}, 1) as nt from raw),
+unit as (select *, try_cast(nullif(nt, '') as double) as n, regexp_replace(trim(substr(s0, length(nt) + 1), {_OUTER}), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g') as ut from num),
+q as (select unit.*, case when n is not null then case when ut = '' then n when coalesce(e.d, f.d) is not null then n * coalesce(e.f, f.f) + coalesce(e.o, f.o) end end as m, case when n is not null then case when ut = '' then 'dimensionless' else coalesce(e.d, f.d) end end as d
+  from unit left join exact e on e.s = ut left join folded f on f.s = lower(ut)),
+rec as (select c.id || '/' || p.pair_id || p.side as rid, epoch_us(created_at) as ord, p.pair_id, p.side, c.doc_id, page, coalesce(nm.v, attribute) as name, raw_value, m, case when m is not null then d end as d, (bbox_y0 + bbox_y1) / 2 as y,
+  case when mk = '' then '' when unicode(mk) between 9312 and 9331 then cast(unicode(mk) - 9311 as varchar) when unicode(mk) between 12881 and 12895 then cast(unicode(mk) - 12860 as varchar) else upper(regexp_replace(mk, '[.)]+$', '')) end as tag,
+  case when starts_with(ver, 'regex') then 'regex' when starts_with(ver, 'vision') then 'vision' else 'llm_text' end as lane,
+  coalesce(nullif(regexp_extract(trim(raw_value), '^([A-Z][A-Z-]*?)-?[0-9]', 1), ''), nullif(regexp_extract(trim(raw_value), '^([A-Z][A-Z-]*)(?:[ -]+)?[0-9]', 1), ''), nullif(regexp_extract(trim(raw_value), '^([A-Z][A-Z-]*)', 1), '')) as family
+  from q c join pairs p on p.doc = lower(trim(c.doc_id, {_OUTER})) left join nm on nm.k = lower(trim(attribute, {_OUTER})))"""
+
+
+def _text_ids(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("record_id", F.concat(F.col("claim"), F.lit("/"), F.col("pair_id"), F.col("side"))).drop("claim")
+
+
+_SAME = "lower(trim({a}.raw)) = lower(trim({b}.raw)) or coalesce({a}.d = {b}.d and case when {b}.m = 0 then {a}.m = 0 else abs({a}.m - {b}.m) / abs({b}.m) <= 0.001 end, false)"
+
+
+@query(_RECORDS + """, bucket as (select pair_id, page, lower(trim(name)) as nm, list({'id': rid, 'tag': tag, 'y': y, 'm': m, 'd': d, 'f': family, 'raw': raw_value} order by ord, rid) filter (side = 'a') as a,
+  list({'id': rid, 'tag': tag, 'y': y, 'm': m, 'd': d, 'f': family, 'raw': raw_value} order by ord, rid) filter (side = 'b') as b from rec group by all having count(*) filter (side = 'a') > 0 and count(*) filter (side = 'b') > 0),
+st as (select pair_id, a, b, 0 as i, cast([] as varchar[]) as used, cast(null as varchar) as a_id, cast(null as varchar) as b_id, cast(null as double) as sure, cast(null as boolean) as same from bucket
+  union all
+  select pair_id, a, b, i + 1, case when best is null then used else list_append(used, best.id) end, r.id, best.id,
+    case when (uneven or level) and not anchored then case when r.tag = best.tag then case when r.tag <> '' then 1.0 else 0.5 end else 0.4 end when r.tag <> '' and r.tag = best.tag then 1.0 when r.tag <> best.tag then 0.55 when len(a) <= 1 and len(b) <= 1 then 0.9 else 0.75 end,
+    """ + _SAME.format(a="r", b="best") + """ from (
+      select *, case when (uneven or level) and not anchored then list_filter(free, lambda x: """ + _SAME.format(a="r", b="x") + """)[1]
+        else list_filter(list_filter(free, lambda x: abs(r.y - x.y) = list_min(list_transform(free, lambda z: abs(r.y - z.y)))), lambda x: abs(r.y - x.y) <= 1000)[1] end as best from (
+        select *, list_filter(pool, lambda x: not list_contains(used, x.id)) as free, r.tag <> '' and len(strict) = 1 as anchored, len(a) <> len(b) and greatest(len(a), len(b)) > 1 as uneven, len(pool) > 1 and len(list_distinct(list_transform(pool, lambda x: x.y))) = 1 as level from (
+          select *, case when len(strict) > 0 then strict else fits end as pool from (
+            select *, list_filter(fits, lambda x: x.tag = r.tag) as strict from (
+              select *, list_filter(b, lambda x: r.m is not null or r.f is null or x.f is null or r.f = x.f) as fits from (select *, a[i + 1] as r from st where i < len(a))))))))
+select pair_id, a_id, b_id, sure as pairing_confidence, same as value_equivalent from st where b_id is not null""")
 def align_greedy(spark, d):
-    pairs = align.align_exact(_records(spark, d, "a"), _records(spark, d, "b"))
+    pairs = align.align_exact(_text_ids(_records(spark, d, "a")), _text_ids(_records(spark, d, "b")))
     return pairs.select("pair_id", F.col("a.record_id").alias("a_id"), F.col("b.record_id").alias("b_id"), "pairing_confidence", "value_equivalent")
 
 
@@ -172,16 +222,25 @@ def align_single(spark, d):
 
 @query()
 def align_by_name(spark, d):
-    pairs = align.align_semantic(_records(spark, d, "a"), _records(spark, d, "b"), align.hashed_embedding())
+    pairs = align.align_semantic(_records(spark, d, "a").drop("claim"), _records(spark, d, "b").drop("claim"), align.hashed_embedding())
     return pairs.select("pair_id", F.col("a.record_id").alias("a_id"), F.col("b.record_id").alias("b_id"), F.round("name_match_confidence", 6).alias("similarity"), "value_equivalent")
 
 
-@query()
+_NEAR = "abs({0} - {1}) <= 0.001 * greatest(abs({0}), abs({1}))"
+_ALIKE = "case when k.m is not null and v.m is not null then (coalesce(k.u, '') = '' or coalesce(v.u, '') = '' or k.u = v.u) and " + _NEAR.format("k.m", "v.m") + " else (k.form = v.form and k.form <> '') or coalesce(" + _NEAR.format("k.n", "v.n") + ", false) end"
+
+
+@query(_RECORDS + """, g as (select pair_id, doc_id, page, name, list({'id': rid, 'lane': lane, 'm': m, 'u': d, 'form': regexp_replace(replace(lower(raw_value), ',', ''), '[^a-z0-9.%]', '', 'g'), 'n': try_cast(replace(nullif(regexp_extract(raw_value, '(-?[0-9][0-9,]*\\.?[0-9]*)', 1), ''), ',', '') as double)}
+  order by case when lane = 'vision' then 0 when lane = 'llm_text' or regexp_matches(tag, '^[0-9]+$') then 1 else 2 end, ord, rid) as l from rec where side = 'a' group by all having min(lane) <> max(lane)),
+w as (select l, 1 as i, list_slice(l, 1, 0) as kept, cast([] as varchar[]) as gone from g
+  union all select l, i + 1, case when rep then kept else list_append(kept, v) end, case when rep then list_append(gone, v.id) else gone end from (select *, len(list_filter(kept, lambda k: k.lane <> v.lane and """ + _ALIKE + """)) > 0 as rep from (select *, l[i] as v from w where i <= len(l)))),
+drops as (select unnest(gone) as rid from w where i > len(l))
+select pair_id, rid as record_id, lane as extraction_lane from rec where side = 'a' and rid not in (select rid from drops)""")
 def lane_duplicates(spark, d):
-    return dedup.drop_lane_duplicates(_records(spark, d, "a"), ["pair_id", "doc_id"]).select("pair_id", "record_id", "extraction_lane")
+    return dedup.drop_lane_duplicates(_text_ids(_records(spark, d, "a")), ["pair_id", "doc_id"]).select("pair_id", "record_id", "extraction_lane")
 
 
-_PARTS = """, r as (select distinct fixture_pair_id, upper(trim(raw_value)) as v, page, s from (select fixture_pair_id, doc_id_a as doc, 'a' as s from p union all select fixture_pair_id, doc_id_b, 'b' from p) x
+_PARTS = """, r as (select distinct fixture_pair_id, upper(trim(raw_value)) as v, page, s, c.doc_id as doc from (select fixture_pair_id, doc_id_a as doc, 'a' as s from p union all select fixture_pair_id, doc_id_b, 'b' from p) x
   join c on lower(c.doc_id) = lower(x.doc) where regexp_matches(raw_value, '^[A-Z]+-[A-Z]-[0-9]+[A-Z]*$')) """
 
 
@@ -193,23 +252,23 @@ def _designations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _gap(spark, d, page_scope: bool) -> DataFrame:
     a, b = _designations(spark, d)
     gaps = detect.gap_flags(a, b, page_scope=page_scope)
-    return gaps.select(F.col("pair_id").alias("fixture_pair_id"), F.upper(strip("a_record.raw_value")).alias("v"), F.col("a_record.page").alias("page")).distinct()
+    return gaps.select(F.col("pair_id").alias("fixture_pair_id"), F.upper(strip("a_record.raw_value")).alias("v"), F.col("a_record.page").alias("page"), "deviating_doc_id", "parameter", "severity", "confidence", "authority_rule", "provenance").distinct()
 
 
-@query(_CLAIM + _PARTS + "select fixture_pair_id, v, page from r a where s = 'a' and not exists (from r b where b.s = 'b' and b.fixture_pair_id = a.fixture_pair_id and b.v = a.v and b.page = a.page)")
+@query(_CLAIM + _PARTS + "select distinct fixture_pair_id, v, page, coalesce((select min(doc) from r b where b.s = 'b' and b.fixture_pair_id = a.fixture_pair_id), '') as deviating_doc_id, 'Fuse Designation' as parameter, 'major' as severity, 0.5 as confidence, 'checklist_gap' as authority_rule, 'regex' as provenance from r a where s = 'a' and not exists (from r b where b.s = 'b' and b.fixture_pair_id = a.fixture_pair_id and b.v = a.v and b.page = a.page)")
 def gap_same_page(spark, d):
     return _gap(spark, d, True)
 
 
-@query(_CLAIM + _PARTS + "select fixture_pair_id, v, page from r a where s = 'a' and not exists (from r b where b.s = 'b' and b.fixture_pair_id = a.fixture_pair_id and b.v = a.v)")
+@query(_CLAIM + _PARTS + "select distinct fixture_pair_id, v, page, coalesce((select min(doc) from r b where b.s = 'b' and b.fixture_pair_id = a.fixture_pair_id), '') as deviating_doc_id, 'Fuse Designation' as parameter, 'major' as severity, 0.5 as confidence, 'checklist_gap' as authority_rule, 'regex' as provenance from r a where s = 'a' and not exists (from r b where b.s = 'b' and b.fixture_pair_id = a.fixture_pair_id and b.v = a.v)")
 def gap_anywhere(spark, d):
     return _gap(spark, d, False)
 
 
-@query(_CLAIM + _PARTS + "select fixture_pair_id, v, page from r a where s = 'a' and exists (from r b where b.s = 'b' and b.fixture_pair_id = a.fixture_pair_id and b.v = a.v)")
+@query("with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag as f, l_suppkey % 100 as v, l_orderkey % 500 as pair_id from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey from r a where f = 'R' and exists (from r b where b.f = 'A' and b.pair_id = a.pair_id and b.v = a.v)")
 def migrated_values(spark, d):
-    a, b = _designations(spark, d)
-    return detect.migrated_values(a, b).select(F.col("pair_id").alias("fixture_pair_id"), F.upper(strip("raw_value")).alias("v"), "page").distinct()
+    r = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.concat(F.lit("v"), (F.col("l_suppkey") % 100).cast("string")).alias("raw_value"), (F.col("l_orderkey") % 500).alias("pair_id"))
+    return detect.migrated_values(r.where("l_returnflag = 'R'"), r.where("l_returnflag = 'A'")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query("with c as (select distinct * from claim) select id, sha256(concat_ws('|', entity_id, attribute, raw_value, doc_id, cast(page as varchar))) as claim_id from c")
@@ -222,10 +281,6 @@ def designation_families(spark, d):
     return _claims(spark, d).select("id", S.designation_family("raw_value").alias("family"))
 
 
-def _values(mapping: dict) -> str:
-    return ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in mapping.items())
-
-
 @query(f"with m(k, v) as (values {_values(fixed.NAME_ALIASES)}), f(k, v) as (values {_values(fixed.PHRASES)}), g(k, v) as (values {_values(fixed.FAMILIES)}), e as (select distinct extraction_id, parameter_name from extracted_claim) "
        "select extraction_id, coalesce(m.v, parameter_name) as canonical, coalesce(f1.v, f2.v, parameter_name) as phrase, g.v as family from e left join m on m.k = lower(trim(parameter_name)) left join f f1 on f1.k = parameter_name left join f f2 on f2.k = trim(parameter_name) left join g on g.k = coalesce(f1.v, f2.v, parameter_name)")
 def canonical_names(spark, d):
@@ -238,12 +293,6 @@ def verbatim_guard(spark, d):
     return _claims(spark, d).select("id", S.verbatim(F.col("raw_value"), F.col("span_text")).alias("verbatim"))
 
 
-@query()
-def grounded_guard(spark, d):
-    e = table(spark, d, "extracted_claim").select("extraction_id", "entity_tag", "span_text").distinct()
-    return e.select("extraction_id", S.grounded(F.col("entity_tag"), F.col("span_text")).alias("grounded"))
-
-
 @query("with e as (select distinct extraction_id, reasoning, raw_value, parameter_name from extracted_claim) select extraction_id, coalesce(contains(reasoning, raw_value), false) or coalesce(contains(reasoning, parameter_name), false) as mentioned from e")
 def rationale_guard(spark, d):
     e = table(spark, d, "extracted_claim").select("extraction_id", "reasoning", "raw_value", "parameter_name").distinct()
@@ -300,12 +349,6 @@ def parameter_changes(spark, d):
     return equipment.parameter_changes(maps.where("v = 'llm-v1'"), maps.where("v = 'llm-v2'"), ["entity"])
 
 
-@query()
-def entities_of_labels(spark, d):
-    e = table(spark, d, "entity").select("id", "label")
-    return e.select("id", S.infer_entity("label", "id").alias("x")).select("id", F.col("x.id").alias("entity_id"), F.col("x.type").alias("type"), F.col("x.label").alias("label"))
-
-
 @query("with e as (select distinct extraction_id, lane, confidence, reasoning from extracted_claim), s as (select least(9, floor(greatest(0, least(1, confidence)) * 10)) as bin, greatest(0, least(1, confidence)) as c, case when coalesce(reasoning, '') <> '' then 1.0 else 0.0 end as t from e where confidence is not null) "
        "select cast(r.bin as int) as bin, r.bin / 10 as lo, (r.bin + 1) / 10 as hi, count(c) as n, round(coalesce(avg(c), 0), 8) as mean_score, round(coalesce(avg(t), 0), 8) as hit_rate from range(10) r(bin) left join s on s.bin = r.bin group by r.bin")
 def calibration(spark, d):
@@ -337,24 +380,25 @@ def decision_accuracy(spark, d):
 
 # ---- documents: lines, sections, layout
 
-_LINES = "with l as (select doc_id, unnest(generate_series(0, len(string_split_regex(text, '\\r\\n|[\\n\\r]')) - 1)) as i, unnest(string_split_regex(text, '\\r\\n|[\\n\\r]')) as line from documents where text is not null and not contains(text, chr(12))), s as (select doc_id, i, trim(line, ' ' || chr(9) || chr(160) || chr(65279) || chr(12) || chr(11)) as t from l), n as (select * from s where t <> '') "
+_LINES = """with pg as (select doc_id, unnest(generate_series(1, len(string_split(text, chr(12))))) as page, unnest(string_split(text, chr(12))) as text from documents where text is not null),
+l as (select doc_id, page, unnest(generate_series(0, len(string_split_regex(text, '\\r\\n|[\\n\\r]')) - 1)) as i, unnest(string_split_regex(text, '\\r\\n|[\\n\\r]')) as line from pg),
+s as (select doc_id, page, i, trim(line, ' ' || chr(9) || chr(160) || chr(65279) || chr(12) || chr(11)) as t from l), n as (select * from s where t <> '') """
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("\f")))
-    return scan.text_spans(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return scan.text_spans(table(spark, d, "documents"), "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-@query(_LINES + "select doc_id, count(*) as lines, min(i) as first, max(i) as last, sum(length(t)) as chars from n group by 1")
+@query(_LINES + "select doc_id, count(*) as lines, max(page) as pages, min(i) as first, max(i) as last, sum(length(t)) as chars from n group by 1")
 def line_spans(spark, d):
     i = F.floor(F.col("bbox.y0") / 12)
-    return _spans(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.min(i).alias("first"), F.max(i).alias("last"), F.sum(F.length("text")).alias("chars"))
+    return _spans(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.max("page").alias("pages"), F.min(i).alias("first"), F.max(i).alias("last"), F.sum(F.length("text")).alias("chars"))
 
 
 _HEAD = "regexp_matches(t, '^[0-9]+(\\.[0-9]+)*\\.?\\s+\\S|^[a-z]\\.\\s+\\S|^Time Current Curve\\b')"
 
 
-@query(_LINES + f", f as (select doc_id, i, last_value(case when {_HEAD} then t end ignore nulls) over (partition by doc_id order by i rows between unbounded preceding and current row) as section from n) select doc_id, count(*) as lines, count(section) as in_section, count(distinct section) as sections from f group by 1")
+@query(_LINES + f", f as (select doc_id, i, last_value(case when {_HEAD} then t end ignore nulls) over (partition by doc_id, page order by i rows between unbounded preceding and current row) as section from n) select doc_id, count(*) as lines, count(section) as in_section, count(distinct section) as sections from f group by 1")
 def sections(spark, d):
     s = scan.fill_sections(_spans(spark, d), ["doc_id", "page"], ["bbox.y0", "ord"])
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count("section").alias("in_section"), F.count_distinct("section").alias("sections"))
@@ -367,16 +411,17 @@ def pattern_scan(spark, d):
     return rows.groupBy("doc_id", "i", F.col("m.raw_value").alias("raw_value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_LINES + ", m as (select doc_id, i, regexp_extract(t, '^([A-Z][a-z]+ v\\.? [A-Z][a-z]+)', 1) as a, regexp_extract(t, '^(Case No)\\. ([A-Za-z]+) ([0-9]+/[0-9]+)', 3) as c from n) select doc_id, i, c from m where c <> ''")
+@query("with c as (select distinct id, attribute || ': ' || raw_value as t from claim where attribute is not null and raw_value is not null), m as (select id, t, '^([A-Z][A-Za-z][A-Za-z ]{0,40}?)[ \\t\\n\\r\\f\\x0b]*:[ \\t\\n\\r\\f\\x0b]*(\\d[\\d,]*\\.?\\d*)[ \\t\\n\\r\\f\\x0b]*(kVA|MVA|kV|MV|kA|VA|kHz|MHz|Hz|°C|°F|Ω|μF|%|V|A)(?:[ \\t\\n\\r\\f\\x0b]|$|[^A-Za-z0-9])' as p from c) "
+       "select id, trim(regexp_extract(t, p, 1)) as name, regexp_extract(t, p, 2) || ' ' || regexp_extract(t, p, 3) as raw_value from m where regexp_extract(t, p, 2) <> ''")
 def label_values(spark, d):
-    c = F.regexp_extract("text", r"^(Case No)\. ([A-Za-z]+) ([0-9]+/[0-9]+)", 3)
-    return _spans(spark, d).select("doc_id", F.floor(F.col("bbox.y0") / 12).alias("i"), c.alias("c")).where("c <> ''")
+    c = _claims(spark, d).select("id", F.concat("attribute", F.lit(": "), "raw_value").alias("t")).where("t is not null")
+    return c.select("id", F.explode(extract.pattern_matches(F.col("t"), [])).alias("m")).select("id", "m.name", "m.raw_value")
 
 
-@query(_LINES + ", m as (select doc_id, i, regexp_replace(upper(regexp_extract(t, '^[\\s|]*(\\d{1,3}[.)]?|[A-Z][\\-]?\\d{1,3})\\s+', 1)), '[.)]+$', '') as tag from n where not regexp_matches(t, '^[\\s|]*[①-⑳㉑-㉟]')) select doc_id, i, tag from m where tag <> ''")
+@query(_LINES + ", m as (select doc_id, page, i, regexp_extract(t, '^[ \\t\\n\\r\\f\\x0b|]*([①-⑳]|[㉑-㉟]|\\d{1,3}[.)]?|[A-Z]-?\\d{1,3})[ \\t\\n\\r\\f\\x0b]+', 1) as t from n where t <> '') "
+       "select doc_id, page, i, case when unicode(t) between 9312 and 9331 then cast(unicode(t) - 9311 as varchar) when unicode(t) between 12881 and 12895 then cast(unicode(t) - 12860 as varchar) else upper(regexp_replace(t, '[.)]+$', '')) end as tag from m where t <> ''")
 def row_markers(spark, d):
-    rows = _spans(spark, d).where(~F.col("text").rlike(r"^[\s|]*[①-⑳㉑-㉟]"))
-    return rows.select("doc_id", F.floor(F.col("bbox.y0") / 12).alias("i"), S.row_marker("text").alias("tag")).where("tag <> ''")
+    return _spans(spark, d).select("doc_id", "page", F.floor(F.col("bbox.y0") / 12).alias("i"), S.row_marker("text").alias("tag")).where("tag <> ''")
 
 
 _LAYOUT = """with x as (select doc_id, coalesce(text, '') as t from documents), w as (select doc_id, length(trim(t, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(11) || chr(12) || chr(65279))) as n_chars,
@@ -536,9 +581,9 @@ def union_lanes(spark, d):
     return l.where("l_returnflag = 'R'").select("l_suppkey", "l_partkey").unionByName(l.where("l_linestatus = 'O'").select("l_suppkey", "l_partkey"))
 
 
-@query("select c_custkey from customer except select o_custkey from orders")
+@query("select c_custkey from customer except select o_custkey from orders where o_orderpriority = '1-URGENT'")
 def except_rows(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")))
 
 
 @query("select l_partkey, len(list_intersect(list(distinct l_suppkey) filter (l_returnflag = 'R'), list(distinct l_suppkey) filter (l_returnflag = 'A'))) as shared from lineitem group by 1 having shared > 0")

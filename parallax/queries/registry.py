@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.queries import problems, reference
+from parallax.queries import problems, reference, steps
 
-QUERIES = {**reference.QUERIES, **problems.QUERIES}
-SQL = {**reference.SQL, **problems.SQL}
+QUERIES = {**reference.QUERIES, **steps.QUERIES, **problems.QUERIES}
+SQL = {**reference.SQL, **steps.SQL, **problems.SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
