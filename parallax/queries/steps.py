@@ -84,7 +84,16 @@ def best_flags(spark, d):
     return detect.one_flag_per_record(_line_flags(spark, d)).select("pair_id", F.col("b_record.record_id").alias("b_id"), "parameter", F.col("a_record.record_id").alias("a_id"), "confidence")
 
 
-@query(_FLAG + "select pair_id, name as parameter, b_page as page, coalesce(format('{:.3e}', am), '') as a, coalesce(format('{:.3e}', bm), '') as b, count(*) as flags from fl group by all having count(*) > 1")
+def _four_digits(c: str) -> str:
+    """A price in four significant digits, halves upwards, in SQL."""
+    whole = f"cast(round({c} * 100) as bigint)"
+    size = f"length(cast({whole} as varchar))"
+    kept = f"(({whole} + 5 * cast(pow(10, {size} - 5) as bigint)) // cast(pow(10, {size} - 4) as bigint))"
+    digits, power = f"cast(case when {kept} >= 10000 then {kept} // 10 else {kept} end as varchar)", f"({size} - 3 + case when {kept} >= 10000 then 1 else 0 end)"
+    return f"coalesce(substr({digits}, 1, 1) || '.' || substr({digits}, 2, 3) || 'e+' || lpad(cast({power} as varchar), 2, '0'), '')"
+
+
+@query(_FLAG + f"select pair_id, name as parameter, b_page as page, {_four_digits('am')} as a, {_four_digits('bm')} as b, count(*) as flags from fl group by all having count(*) > 1")
 def near_miss_flags(spark, d):
     return detect.near_misses(_line_flags(spark, d))
 
