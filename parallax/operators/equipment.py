@@ -138,14 +138,32 @@ def best_assignment(score: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[c] - 1, c - 1) for c in range(1, cols + 1) if owner[c]]
 
 
+def connected(edges: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each connected part of a bipartite graph that has an edge."""
+    label = np.arange(edges.shape[0])
+    while True:  # the least row of a part spreads over columns to its rows
+        column = np.where(edges, label[:, None], edges.shape[0]).min(axis=0)
+        new = np.minimum(label, np.where(edges, column[None, :], edges.shape[0]).min(axis=1, initial=edges.shape[0]))
+        if (new == label).all():
+            break
+        label = new
+    return [(np.flatnonzero((label == k) & edges.any(axis=1)), np.flatnonzero(column == k)) for k in np.unique(label[edges.any(axis=1)])]
+
+
+def sorted_inventory(inventory: DataFrame, by: Sequence[str] = ("canonical_id",)) -> DataFrame:
+    """An inventory by canonical id, or contexts by (canonical_id, raw_title): for reports; operators need no order."""
+    return inventory.orderBy(*by)
+
+
 def match_equipment(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("pair_id",), *, accept: float = 0.6, margin: float = 0.1) -> DataFrame:
     """(keys, a_id, b_id, status, score): one-to-one matching of two inventories.
 
-    Candidates share kind and an anchor. Score: labels in common 0.5 (in contradiction -0.5), context 0.2,
-    overlap of descriptors 0.1, anchors that are row marks 0.2. The assignment is made per block of (keys, kind).
+    Candidates share kind and an anchor (a label, a context or a row). Score: identity in common 0.5, be it a label or the row of a
+    common context, labels in contradiction -0.5, context 0.2, overlap of descriptors 0.1, nearness of pages 0.05 at most where both sides
+    have a column page. The assignment is made for each set of connected candidates of one kind; what has no candidate is unmatched.
     """
     keys = list(keys)
-    pick = lambda df, s: df.select(*keys, "kind", F.col("canonical_id").alias(f"{s}_id"), F.col("identity_anchors").alias(f"{s}_anchors"), F.col("weak_descriptors").alias(f"{s}_weak"))
+    pick = lambda df, s: df.select(*keys, "kind", F.col("canonical_id").alias(f"{s}_id"), F.col("identity_anchors").alias(f"{s}_anchors"), F.col("weak_descriptors").alias(f"{s}_weak"), (F.col("page") if "page" in df.columns else F.lit(None).cast("int")).alias(f"{s}_page"))
     left, right = pick(a, "a"), pick(b, "b")
     meet = left.withColumn("k", F.explode("a_anchors")).join(right.withColumn("k", F.explode("b_anchors")), [*keys, "kind", "k"]).drop("k").distinct()
     label = lambda c: F.filter(c, lambda x: ~F.startswith(x, F.lit("row_")) & identity_anchor(x).isNotNull())
@@ -155,7 +173,9 @@ def match_equipment(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("pair_id"
     rows = F.arrays_overlap(F.filter("a_anchors", lambda x: F.startswith(x, F.lit("row_"))), F.filter("b_anchors", lambda x: F.startswith(x, F.lit("row_"))))
     union = F.size(F.array_union("a_weak", "b_weak"))
     overlap = F.when(union > 0, F.size(F.array_intersect("a_weak", "b_weak")) / union).otherwise(0.0)
-    score = F.when(F.coalesce(shared, F.lit(False)), 0.5).when(clash, -0.5).otherwise(0.0) + F.when(F.coalesce(F.arrays_overlap(place(F.col("a_anchors")), place(F.col("b_anchors"))), F.lit(False)), 0.2).otherwise(0.0) + F.when(F.coalesce(rows, F.lit(False)), 0.3).otherwise(0.0) + 0.1 * overlap
+    context = F.coalesce(F.arrays_overlap(place(F.col("a_anchors")), place(F.col("b_anchors"))), F.lit(False))
+    near = F.coalesce(0.05 / (1 + F.abs(F.col("a_page") - F.col("b_page"))), F.lit(0.0))
+    score = F.when(F.coalesce(shared, F.lit(False)), 0.5).when(clash, -0.5).when(F.coalesce(rows, F.lit(False)) & context, 0.5).otherwise(0.0) + F.when(context, 0.2).otherwise(0.0) + 0.1 * overlap + near
     scored = meet.select(*keys, "kind", "a_id", "b_id", score.alias("score"), clash.alias("clash"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +188,7 @@ def match_equipment(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("pair_id"
             if r.clash:
                 clash.add((r.a_id, r.b_id))
         out = []
-        for i, j in best_assignment(m):
+        for i, j in [p for rows, cols in connected(m > -1) for p in [(rows[x], cols[y]) for x, y in best_assignment(m[np.ix_(rows, cols)])]]:
             if m[i, j] <= -1:
                 continue
             others = np.concatenate([np.delete(m[i], j), np.delete(m[:, j], i)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ class ReviewConfig:
     claim_gate: bool = False
     judgments: DataFrame | None = None
     clauses: DataFrame | None = None
+    #: Called with the name of a stage when its plan is ready; those that checkpoint have run by then.
+    on_stage: Callable[[str], None] | None = None
 
 
 def bind_entities(records: DataFrame, entities: DataFrame) -> DataFrame:
@@ -45,10 +48,12 @@ def review(a: DataFrame, b: DataFrame, config: ReviewConfig | None = None) -> di
     stays, and judgments are applied.
     """
     config = config or ReviewConfig()
+    done = config.on_stage or (lambda stage: None)
     sides = [drop_lane_duplicates(x, ["pair_id", "doc_id"]) for x in (a, b)]
     if config.entities is not None:
         sides = [bind_entities(x, config.entities) for x in sides]
     a, b = (checkpoint(x) for x in sides)
+    done("records")
     exact = align_exact(a, b)
     if config.claim_gate:
         from parallax.functions.scalars import infer_entity
@@ -57,11 +62,13 @@ def review(a: DataFrame, b: DataFrame, config: ReviewConfig | None = None) -> di
         exact = same_entity_pairs(exact, entity("a"), entity("b"))
     semantic = align_semantic(a, b, config.embed, threshold=config.threshold, same_page_only=config.same_page_only)
     pairs = checkpoint(rerank_weak(combine_alignments(exact, semantic), config.pair_scorer))
+    done("pairs")
     bands = config.bands if config.bands is not None else band_table(a.sparkSession)
     found = detect_flags(pairs, bands, suppress_info=config.suppress_info)
     left_a, left_b = unpaired(a, pairs, "a"), unpaired(b, pairs, "b")
     gaps = gap_flags(left_a, b, page_scope=config.same_page_only)
     flags = with_flag_id(one_flag_per_record(found.unionByName(gaps.select(*found.columns))))
+    done("flags")
     if config.judgments is not None:
         flags = apply_judgments(flags, config.judgments, config.clauses)
     return {"flags": flags, "pairs": pairs, "unpaired_a": left_a, "unpaired_b": left_b}
