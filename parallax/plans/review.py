@@ -29,6 +29,8 @@ class ReviewConfig:
     claim_gate: bool = False
     judgments: DataFrame | None = None
     clauses: DataFrame | None = None
+    #: False where the records were freed of lane duplicates before, once for each document instead of once for each pair.
+    lane_duplicates: bool = True
     #: Called with the name of a stage when its plan is ready; those that checkpoint have run by then.
     on_stage: Callable[[str], None] | None = None
 
@@ -49,7 +51,7 @@ def review(a: DataFrame, b: DataFrame, config: ReviewConfig | None = None) -> di
     """
     config = config or ReviewConfig()
     done = config.on_stage or (lambda stage: None)
-    sides = [drop_lane_duplicates(x, ["pair_id", "doc_id"]) for x in (a, b)]
+    sides = [drop_lane_duplicates(x, ["pair_id", "doc_id"]) if config.lane_duplicates else x for x in (a, b)]
     if config.entities is not None:
         sides = [bind_entities(x, config.entities) for x in sides]
     a, b = (checkpoint(x) for x in sides)

@@ -11,7 +11,7 @@ from parallax.functions.text import clean, strip
 from parallax.functions.units import NUMBER, folded_table, unit_table
 from parallax.operators import align, dedup, detect, equipment, evaluate, extract, judge, scan
 from parallax.plans.review import ReviewConfig, compare_totals, review
-from parallax.session import table
+from parallax.session import checkpoint, table
 from parallax.sources import store
 from parallax.streaming import live
 
@@ -143,23 +143,35 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "claim").dropDuplicates(["id"])
 
 
-def _records(spark: SparkSession, d: str, side: str) -> DataFrame:
-    """Claims as records of one side of the document pairs under review."""
-    pair = table(spark, d, "fixture_pair").select(F.col("fixture_pair_id").alias("pair_id"), clean(f"doc_id_{side}").alias("doc_key"))
-    rows = S.with_base_quantity(_claims(spark, d).withColumn("doc_key", clean("doc_id")).join(pair, "doc_key"), "raw_value", "q")
+def _document_records(spark: SparkSession, d: str) -> DataFrame:
+    """Claims as records of their document, read once however many pairs the document is in; record_id and pair_id are those of no pair."""
+    rows = S.with_base_quantity(_claims(spark, d).withColumn("doc_key", clean("doc_id")), "raw_value", "q")
     box = F.struct(*[F.col(f"bbox_{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
     lane = F.when(clean("extraction_version").startswith("regex"), "regex").when(clean("extraction_version").startswith("vision"), "vision").otherwise("llm_text")
     return rows.select(
-        F.xxhash64("id", "pair_id").alias("record_id"), F.col("id").alias("claim"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("ord"), "pair_id", F.lit(side).alias("side"), "doc_id", "page", box.alias("bbox"), "section", F.coalesce("span_text", F.lit("")).alias("span_text"),
+        F.xxhash64("id").alias("record_id"), F.col("id").alias("claim"), "doc_key", F.unix_micros(F.col("created_at").cast("timestamp")).alias("ord"), "doc_id", "page", box.alias("bbox"), "section", F.coalesce("span_text", F.lit("")).alias("span_text"),
         S.canonical_parameter("attribute").alias("name"), "raw_value", F.col("q.magnitude").alias("normalized_magnitude"), F.col("q.dimension").alias("normalized_unit"), "source_path", S.row_marker("span_text").alias("entity_tag"),
         F.when(lane == "regex", "regex").otherwise("llm").alias("provenance"), lane.alias("extraction_lane"),
     )
 
 
+def _on_side(spark: SparkSession, d: str, records: DataFrame, side: str) -> DataFrame:
+    """Records of documents as records of one side of the document pairs under review."""
+    pair = table(spark, d, "fixture_pair").select(F.col("fixture_pair_id").alias("pair_id"), clean(f"doc_id_{side}").alias("doc_key"))
+    return records.join(pair, "doc_key").withColumn("side", F.lit(side)).withColumn("record_id", F.xxhash64("claim", "pair_id")).drop("doc_key")
+
+
+def _records(spark: SparkSession, d: str, side: str) -> DataFrame:
+    return _on_side(spark, d, _document_records(spark, d), side)
+
+
 @query()
 def review_documents(spark, d):
     """The whole review over all pairs of documents; flags."""
-    flags = review(_records(spark, d, "a").drop("claim"), _records(spark, d, "b").drop("claim"), ReviewConfig())["flags"]
+    # Lane duplicates are a matter of one document, so they go before documents meet in pairs.
+    once = checkpoint(dedup.drop_lane_duplicates(_document_records(spark, d), ["doc_id"]))
+    a, b = (_on_side(spark, d, once, s).drop("claim") for s in ("a", "b"))
+    flags = review(a, b, ReviewConfig(lane_duplicates=False))["flags"]
     return flags.select("pair_id", "flag_id", "parameter", "severity", F.round("deviation_pct", 4).alias("deviation_pct"), F.round("confidence", 6).alias("confidence"), "authority_rule", "provenance")
 
 
