@@ -12,7 +12,8 @@ abstains where the signs disagree, and rows without a label are not learnt from.
 Scale: one map over the documents; only the sample of about ``sample`` rows reaches the driver.
 
 Defined cases: null, empty and blank texts have statistics of zero and no kind; ``lang`` null or unknown
-takes the language whose common words are most frequent; repeated documents are judged alike.
+takes the language whose common words are most frequent; repeated documents are judged alike; a small table without labels gives
+prose only; a sample of 1000 readable documents or more of which none can be labelled is an error, as no rule could be learnt.
 """
 
 from __future__ import annotations

@@ -59,6 +59,7 @@ def near_pairs(left: DataFrame, right: DataFrame, a: str, b: str, edits: Callabl
 
     Complete: of the ``k`` + 1 even parts of ``b``, ``k`` edits leave one unchanged, the i-th at most i places from its own
     and, counted from the end, at most ``k`` - i. Only strings of at least ``most`` + 1 letters are cut.
+    The places are broadcast: some 60 rows at most for each distinct length of ``b``, however many strings there are.
     """
     lengths = right.select(F.length(b).alias("lb")).distinct()
     longest = F.greatest("la", "lb")
