@@ -334,10 +334,11 @@ def better_readings(spark, d):
 def _line_spans(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("x"))
     box = F.struct(F.col("x").alias("x0"), F.col("q").alias("y0"), (F.col("x") + 5).alias("x1"), (F.col("q") + 2).alias("y1"))
-    return li.select(F.concat(F.lit("d"), (F.col("l_orderkey") % 100).cast("string")).alias("doc_id"), F.col("l_orderkey").cast("int").alias("page"), box.alias("bbox"), F.concat(F.lit("t"), "l_linenumber").alias("text"), F.lit("").alias("source_path"), F.col("l_linenumber").cast("bigint").alias("ord"))
+    li = li.withColumn("page", F.floor(F.col("l_orderkey") / 16).cast("int"))
+    return li.select(F.concat(F.lit("d"), (F.col("page") % 100).cast("string")).alias("doc_id"), "page", box.alias("bbox"), F.concat(F.lit("t"), "l_linenumber").alias("text"), F.lit("").alias("source_path"), F.col("l_linenumber").cast("bigint").alias("ord"))
 
 
-_SPANS = "with sp as (select 'd' || (l_orderkey % 100) as doc_id, cast(l_orderkey as int) as page, max(l_quantity) as q, max(l_extendedprice) as x, 't' || l_linenumber as text, l_linenumber as ord from lineitem group by l_orderkey, l_linenumber) "
+_SPANS = "with sp as (select 'd' || (l_orderkey // 16 % 100) as doc_id, cast(l_orderkey // 16 as int) as page, max(l_quantity) as q, max(l_extendedprice) as x, 't' || l_linenumber as text, l_linenumber as ord from lineitem group by l_orderkey, l_linenumber) "
 
 
 @query("with recursive" + _SPANS[4:] + """, s as (select doc_id, page, list({'y': q + 1, 'x': x, 'o': ord, 't': text} order by q, x, ord) as l from sp group by all),
